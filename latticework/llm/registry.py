@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that define QUERIES and SQL.
-MODULES = ("bpe", "token_counts")
+MODULES = ("mixing", "bpe", "token_counts", "url_filter", "ordinal_quality")
 
 
 def queries() -> dict:
