@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -47,7 +51,28 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, which may not have it on their path.  Once for each application."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parents[2]
+    folder = Path(tempfile.mkdtemp(prefix="latticework-code-"))  # the driver serves it from here while it lives
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    archive = folder / "latticework.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for p in sorted((root / "latticework").rglob("*.py")):
+            z.write(p, str(p.relative_to(root)))
+    sc.addPyFile(str(archive))
+    _SHIPPED.add(sc.applicationId)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the data folder; also makes sure that the executors have this package."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
