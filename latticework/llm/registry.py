@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that define QUERIES and SQL.
-MODULES = ("mixing", "bpe", "near_dedup", "token_counts", "url_filter", "ordinal_quality")
+MODULES = ("mixing", "bpe", "near_dedup", "token_counts", "fingerprints", "url_filter", "ordinal_quality")
 
 
 def queries() -> dict:
