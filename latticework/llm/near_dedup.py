@@ -5,9 +5,10 @@ their bags, sum of least counts over sum of greatest, is 0.8 or more, and
 classes are the connected components of the links.  Equal texts are one class
 before anything else, whatever their number.  Candidates are texts that share
 a band; within a bucket they are compared with its most central text first,
-and then only across what is still apart.  What a text cannot share with any
-other (shingles that no other open text has) bounds its overlap, so texts of a
-family that are too far apart are told so without pairing them.
+and then only across what is still apart: a text of which too many shingles
+stand in no other open text cannot be linked, and the rest are paired by a
+prefix filter on their rarest shingles, so the members of a large family that
+are too far from each other are told so without pairing them.
 
 Null texts count as empty; all texts without words that are equal are one
 class.  Repeated rows stay rows of their own with the same class.  A class is
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.llm import bags
@@ -76,8 +77,8 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary")
 
 
-def lonely(texts: DataFrame, keys: DataFrame) -> DataFrame:
-    """key, alone: how many shingles of each text no other of these texts has."""
+def shingles(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, shingle, n: the bags of the texts named by ``keys``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = bags.WordHashes()
@@ -87,9 +88,39 @@ def lonely(texts: DataFrame, keys: DataFrame) -> DataFrame:
                 names = b.column(0).slice(first, len(lists)).take(pa.array(text))
                 yield pa.RecordBatch.from_arrays([names, pa.array(element.view(np.int64)), pa.array(weight.astype(np.int64))], ["key", "shingle", "n"])
 
-    shingles = texts.join(keys, "key").select("key", "text").mapInArrow(run, "key binary, shingle long, n long")
-    single = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key"), F.min("n").alias("n")).filter("texts = 1")
-    return single.groupBy("key").agg(F.sum("n").alias("alone"))
+    return texts.join(keys, "key").select("key", "text").mapInArrow(run, "key binary, shingle long, n long")
+
+
+def lonely(texts: DataFrame, keys: DataFrame) -> DataFrame:
+    """key, alone: how many shingles of each text no other of these texts has."""
+    counted = shingles(texts, keys).groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("key").alias("key"), F.min("n").alias("n"))
+    return counted.filter("texts = 1").groupBy("key").agg(F.sum("n").alias("alone"))
+
+
+def apart(rows: DataFrame, by: str) -> DataFrame:
+    """Of rows (``by``, root, ...), those of a ``by`` with two roots or more, with its most frequent root as main."""
+    parts = rows.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = parts.groupBy(by).agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    return rows.join(mixed.select(by, F.col("main.root").alias("main")), by)
+
+
+def prefix_pairs(bags_of: DataFrame, facts: DataFrame) -> DataFrame:
+    """Unordered pairs (a, b) of different roots that can overlap by 0.8.
+
+    With the shingles of every text in one order, rarest first, all that two
+    texts share stands at or after the first shingle they share; a pair is
+    taken where what is left of both from a shared shingle on is enough.  The
+    texts of a shingle's main root meet only those of other roots.
+    """
+    held = bags_of.join(bags_of.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "shingle")
+    before = F.sum("n").over(Window.partitionBy("key").orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, -1))
+    left = held.withColumn("before", F.coalesce(before, F.lit(0))).filter("texts > 1").join(facts.select("key", "size", "root"), "key")
+    left = left.withColumn("rest", F.col("size") - F.col("before")).filter("5 * rest >= 4 * size").select("shingle", "key", "root", "size", "rest")
+    open_ = cut(apart(left, "shingle"))
+    side = lambda p: open_.select(F.col("shingle").alias(f"{p}h"), F.col("key").alias(f"{p}k"), F.col("root").alias(f"{p}r"), F.col("size").alias(f"{p}s"), F.col("rest").alias(f"{p}c"), F.col("main").alias(f"{p}m"))
+    x, y = side("x").filter("xr != xm"), side("y")
+    near = x.join(y, (F.col("xh") == F.col("yh")) & (F.col("xr") != F.col("yr")) & (9 * F.least("xc", "yc") >= 4 * (F.col("xs") + F.col("ys"))))
+    return near.select(F.least("xk", "yk").alias("a"), F.greatest("xk", "yk").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -115,19 +146,14 @@ def classes(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFram
     roots = components(links)
 
     # then whatever a bucket still holds apart
-    rooted = cut(inside.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key")))
-    parts = rooted.groupBy("band", "root").agg(F.count(F.lit(1)).alias("n"))
-    apart = parts.groupBy("band").agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1").select("band", F.col("main.root").alias("main"))
-    still = rooted.join(apart, "band")
+    rooted = inside.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    still = cut(apart(rooted, "band").select("band", "key", "root"))
     open_keys = still.select("key").distinct()
     alone = lonely(texts, open_keys)
-    facts = open_keys.join(centre.select("key", "size"), "key").join(alone, "key", "left").select("key", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("common"))
-    facts = cut(facts.filter("5 * common >= 4 * size"))
-    still = cut(still.join(facts, "key"))
-    x = still.filter("root != main").select("band", F.col("key").alias("xk"), F.col("root").alias("xr"), F.col("size").alias("xs"), F.col("common").alias("xc"))
-    y = still.select("band", F.col("key").alias("yk"), F.col("root").alias("yr"), F.col("size").alias("ys"), F.col("common").alias("yc"))
-    near = x.join(y, (x["band"] == y["band"]) & (F.col("xr") != F.col("yr")) & (9 * F.least("xc", "yc") >= 4 * (F.col("xs") + F.col("ys"))))
-    near = near.select(F.least("xk", "yk").alias("a"), F.greatest("xk", "yk").alias("b")).distinct()
+    common = F.col("size") - F.coalesce("alone", F.lit(0))
+    able = open_keys.join(centre.select("key", "size"), "key").join(alone, "key", "left").filter(5 * common >= 4 * F.col("size")).select("key", "size")
+    facts = cut(apart(still.join(able, "key"), "band").groupBy("key").agg(F.first("size").alias("size"), F.first("root").alias("root")))
+    near = prefix_pairs(cut(shingles(texts, facts.select("key"))), facts)
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(verified(cut(near.join(done, ["a", "b"], "left_anti")), texts))
     if not more.isEmpty():
