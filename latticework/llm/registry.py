@@ -5,7 +5,7 @@ from __future__ import annotations
 from importlib import import_module
 
 #: Modules that define QUERIES and SQL.
-MODULES = ("mixing", "bpe", "near_dedup", "nearest", "token_counts", "fingerprints", "url_filter", "ordinal_quality")
+MODULES = ("warc", "mixing", "bpe", "near_dedup", "nearest", "token_counts", "main_text", "fingerprints", "url_filter", "ordinal_quality")
 
 
 def queries() -> dict:
