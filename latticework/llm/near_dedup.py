@@ -156,10 +156,12 @@ def classes(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFram
     near = prefix_pairs(cut(shingles(texts, facts.select("key"))), facts)
     done = star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = cut(verified(cut(near.join(done, ["a", "b"], "left_anti")), texts))
-    if not more.isEmpty():
-        roots = components(links.union(more))
-
     named = reps.select("key", "rep_id").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    if not more.isEmpty():  # links between the components found so far
+        of = lambda side: roots.select(F.col("node").alias(side), F.col("root").alias(f"{side}r"))
+        joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))
+        over = components(joined.distinct()).select(F.col("node").alias("root"), F.col("root").alias("__over"))
+        named = named.join(over, "root", "left").select("key", "rep_id", F.coalesce("__over", "root").alias("root"))
     least = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
     return rows_of.select("doc_id", "key").join(named.join(least, "root").select("key", "class_id"), "key").select("doc_id", "class_id")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -33,9 +34,20 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark removes shuffle and checkpoint files of finished steps.
+
+    Jobs of many steps would keep the files of all of them until the driver
+    happens to run short of memory.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` with checkpoint() so that later stages restart from shared files."""
     shared_dir(df.sparkSession)
+    let_go(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
