@@ -168,7 +168,7 @@ def python_text(t: str | None, v: str | None) -> str | None:
     return repr(sort(decode(t, v)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _python_text(t: pd.Series, v: pd.Series) -> pd.Series:
     return pd.Series([python_text(a, b) for a, b in zip(t, v, strict=True)])
 

@@ -6,6 +6,7 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from latticework.errors import UsageError
 from latticework.functions import values as V
@@ -74,7 +75,7 @@ def props_text(df: DataFrame, props: str = "props") -> Column:
     return _props_text(whole)
 
 
-@F.udf("string")
+@F.udf(StringType())
 def _props_text(entries):
     return ",".join(f"{e['k']}={V.python_text(e['t'], e['v'])}" for e in entries)
 

@@ -11,6 +11,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from latticework.errors import UsageError
 from latticework.functions import values as V
@@ -22,27 +23,39 @@ FORMAT_VERSION, EXPORT_VERSION, MANIFEST_VERSION = "1.0", 1, 1
 ALGORITHM = "HMAC-SHA256"
 
 
-def json_value(value):
-    """JSON text of a tagged value without nesting."""
+@F.udf(StringType())
+def _nested_json(t, v):
+    return json.dumps(V.decode(t, v), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+
+def json_value(value, nested: bool):
+    """JSON text of a tagged value; ``nested`` says whether lists and maps can occur, which need Python."""
     quoted = F.regexp_replace(F.to_json(F.struct(value["v"].alias("v"))), r'^\{"v":|\}$', "")
-    return F.when(value["t"] == "null", "null").when(value["t"] == "str", quoted).otherwise(value["v"])
+    plain = F.when(value["t"] == "null", "null").when(value["t"] == "str", quoted)
+    return (plain.when(value["t"].isin("list", "map"), _nested_json(value["t"], value["v"])) if nested else plain).otherwise(value["v"])
 
 
-def json_props(props: str = "props"):
-    entries = F.array_sort(F.map_entries(props))
-    return F.concat(F.lit("{"), F.array_join(F.transform(entries, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), json_value(e["value"]))), ","), F.lit("}"))
+def json_props(df: DataFrame) -> DataFrame:
+    """``df`` with its property maps as JSON texts in column __props."""
+    if df.filter(F.exists(F.map_values("props"), lambda x: x["t"].isin("list", "map"))).limit(1).isEmpty():
+        parts = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), json_value(e["value"], False)))
+        return df.withColumn("__props", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
+    rows = df.select("id", F.explode("props").alias("key", "value")).withColumn("text", F.concat(F.lit('"'), "key", F.lit('":'), json_value(F.col("value"), True)))
+    texts = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("parts"))
+    joined = df.join(texts, "id", "left").withColumn("parts", F.coalesce(F.transform("parts", lambda e: e["text"]), F.array().cast("array<string>")))
+    return joined.withColumn("__props", F.concat(F.lit("{"), F.array_join("parts", ","), F.lit("}")))
 
 
 def node_lines(nodes: DataFrame) -> DataFrame:
     """id, line: one JSON object for each node, keys and labels sorted; made on the executors."""
-    return nodes.select("id", F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"labels":'), F.to_json(F.array_sort("labels")), F.lit(',"properties":'), json_props(), F.lit("}")).alias("line"))
+    return json_props(nodes).select("id", F.concat(F.lit('{"id":'), F.col("id").cast("string"), F.lit(',"labels":'), F.to_json(F.array_sort("labels")), F.lit(',"properties":'), "__props", F.lit("}")).alias("line"))
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
     label = F.regexp_replace(F.to_json(F.struct(F.col("label").alias("v"))), r'^\{"v":|\}$', "")
-    return edges.select(
+    return json_props(edges).select(
         "id",
-        F.concat(F.lit('{"from_node":'), F.col("src").cast("string"), F.lit(',"id":'), F.col("id").cast("string"), F.lit(',"label":'), label, F.lit(',"properties":'), json_props(), F.lit(',"to_node":'), F.col("dst").cast("string"), F.lit("}")).alias("line"),
+        F.concat(F.lit('{"from_node":'), F.col("src").cast("string"), F.lit(',"id":'), F.col("id").cast("string"), F.lit(',"label":'), label, F.lit(',"properties":'), "__props", F.lit(',"to_node":'), F.col("dst").cast("string"), F.lit("}")).alias("line"),
     )
 
 
