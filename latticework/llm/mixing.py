@@ -74,23 +74,31 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: flo
 def sainte_lague(parties: DataFrame, groups: list[str], party: str, votes: str, seats: str, cap: str, out: str) -> DataFrame:
     """Give ``seats`` (of each group) to its parties by the highest quotients votes / (2 s + 1).
 
-    All but about as many seats as there are parties follow from two divisors:
-    at one no party can have too many, at the other none too few.  Only the
-    quotients between the two are ranked.  No party passes ``cap``.
+    Parties whose share passes their ``cap`` get just that.  For the others, all
+    but about as many seats as there are parties follow from two divisors: at
+    one no party can have too many, at the other none too few.  Only the
+    quotients between the two are ranked.  No party passes its cap, and one
+    without votes gets nothing.
     """
     whole = Window.partitionBy(*groups)
-    n, v = F.count(F.lit(1)).over(whole), F.sum(votes).over(whole)
-    given = parties.withColumn("__n", n).withColumn("__v", v)
-    seats_at = lambda more: F.when(F.col("__v") > 0, F.floor(F.col(votes) * F.greatest(F.lit(0.0), F.col(seats) + more) / F.col("__v") + F.lit(0.5))).otherwise(0)
-    low = F.least(F.greatest(seats_at(-F.col("__n") / 2) - 1, F.lit(0)), F.col(cap)).cast("long")
-    high = F.least(seats_at(F.col("__n") + 1) + 1, F.col(cap)).cast("long")
+    before = whole.orderBy("__ratio", party).rowsBetween(Window.unboundedPreceding, -1)
+    ahead = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    v = F.col(votes)
+    given = parties.withColumn("__ratio", F.when(v > 0, F.col(cap) / v).otherwise(F.lit(float("inf"))))
+    given = given.withColumn("__level", (F.col(seats) - ahead(cap)) / (F.sum(votes).over(whole) - ahead(votes)))
+    given = given.withColumn("__full", (v > 0) & F.coalesce(F.col("__level") * v >= F.col(cap), F.lit(False)))
+    free = lambda c: F.sum(F.when(F.col("__full"), 0).otherwise(F.col(c))).over(whole)
+    given = given.withColumns({"__n": F.count(F.lit(1)).over(whole), "__v": free(votes), "__s": F.col(seats) - F.sum(F.when(F.col("__full"), F.col(cap)).otherwise(0)).over(whole)})
+    seats_at = lambda more: F.when(F.col("__v") > 0, F.floor(v * F.greatest(F.lit(0.0), F.col("__s") + more) / F.col("__v") + F.lit(0.5))).otherwise(0)
+    low = F.when(F.col("__full"), F.col(cap)).otherwise(F.least(F.greatest(seats_at(-F.col("__n") / 2) - 1, F.lit(0)), F.col(cap))).cast("long")
+    high = F.when(v > 0, F.least(seats_at(2 * F.col("__n") + 1) + 1, F.col(cap))).otherwise(0).cast("long")
     bounded = given.withColumn("__low", low).withColumn("__high", F.greatest(high, F.col("__low")))
     bounded = bounded.withColumn("__open", F.col(seats) - F.sum("__low").over(whole))
-    quotient = F.transform(F.sequence(F.col("__low") + 1, F.col("__high")), lambda s: F.col(votes) / (2 * s - 1))
+    quotient = F.transform(F.sequence(F.col("__low") + 1, F.col("__high")), lambda s: v / (2 * s - 1))
     tries = bounded.filter("__high > __low").select(*groups, party, "__open", F.explode(quotient).alias("__q"))
-    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(F.desc("__q"), party))
+    rank = F.row_number().over(whole.orderBy(F.desc("__q"), party))
     won = tries.withColumn("__rank", rank).filter("__rank <= __open").groupBy(*groups, party).agg(F.count(F.lit(1)).alias("__won"))
-    return bounded.join(won, [*groups, party], "left").withColumn(out, F.col("__low") + F.coalesce("__won", F.lit(0))).drop("__n", "__v", "__low", "__high", "__open", "__won")
+    return bounded.join(won, [*groups, party], "left").withColumn(out, F.col("__low") + F.coalesce("__won", F.lit(0))).select(*parties.columns, out)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
@@ -143,9 +151,9 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shares = mix(docs).select(F.col("doc_id").alias("__id"), "row_hash", (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).alias("__share"), (F.col("size") == 0).alias("__blank"))
     chance = F.pmod(F.xxhash64(F.lit(SEED + 3), "row_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     copies = F.when(F.col("__blank"), 1).otherwise(F.floor(F.col("__share") + chance)).cast("int")
-    chosen = shares.withColumn("__copies", copies).filter("__copies > 0").groupBy("__id", "row_hash").agg(F.first("__copies").alias("__copies"))
+    chosen = shares.withColumn("__copies", copies).filter("__copies > 0").groupBy("__id", F.col("row_hash").alias("__mix_hash")).agg(F.first("__copies").alias("__copies"))
     keyed = docs.withColumn("__hash", F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")))
-    found = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__hash"] == chosen["row_hash"]))
+    found = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__hash"] == chosen["__mix_hash"]))
     return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
 
 
