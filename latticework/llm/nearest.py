@@ -4,7 +4,8 @@ Centroids come from halving a bounded sample again and again at the median, so
 lists hold about equally many vectors.  Every vector is indexed; one near a
 boundary is replicated to the lists whose centroids are nearly as close.  A query walks a neighbour graph over the
 centroids, held in memory, and takes every list within a ratio of the nearest
-centroid's distance (more, where those hold too few vectors).  Distances are
+centroid's distance (more, where those hold too few vectors).  The ratio is set
+on the sample, by the recall it gives there.  Distances are
 computed on the original vectors in double precision.
 
 Vectors that are null, zero, or hold null or non-finite components take no
@@ -36,8 +37,10 @@ LIST_SIZE = 512
 MAX_LISTS = 4096
 #: A vector goes to each list within this ratio of its nearest centroid, at most so many.
 CLOSURE, REPLICAS = 1.03, 4
-#: A query takes each list within this ratio of its nearest centroid.
-PROBE = 1.1
+#: A query takes each list within a ratio of its nearest centroid: the least of these that finds
+#: so large a share of the true neighbours of some sampled vectors within the sample.
+PROBES = (1.02, 1.05, 1.08, 1.1, 1.15, 1.2, 1.3, 1.5, 2.0, 4.0, float("inf"))
+WANTED_RECALL, TRIALS = 0.97, 200
 DEGREE = 16
 #: Vectors of a list in one task.
 SALT_ROWS = 1024
@@ -66,6 +69,9 @@ class Centroids:
         heap = list(zip(far(start).tolist(), start.tolist(), strict=True))
         heapq.heapify(heap)
         best, taken, held, slack = heap[0][0], [], 0, 2 * DEGREE
+        if ratio == float("inf"):
+            enough = int(sizes.sum()) + 1 if sizes is not None else 1 << 62
+            ratio = 1e300
         while heap:
             d, i = heapq.heappop(heap)
             if d > best * ratio and len(taken) >= slack and held >= enough:
@@ -142,12 +148,33 @@ def assign(x: np.ndarray, c: Centroids) -> list[list[int]]:
     return [row[keep].tolist() for row, keep in zip(near, ok, strict=True)]
 
 
+def calibrated(sample: np.ndarray, c: Centroids, k: int) -> float:
+    """The least probe ratio that finds WANTED_RECALL of the sampled vectors' ``k`` nearest in the sample."""
+    lists = np.zeros((len(sample), len(c.points)), bool)
+    for at in range(0, len(sample), 1024):
+        for i, own in enumerate(assign(sample[at : at + 1024], c), at):
+            lists[i, own] = True
+    trials = np.linspace(0, len(sample) - 1, num=min(TRIALS, len(sample))).astype(int)
+    found = np.zeros(len(PROBES))
+    wanted = 0
+    for t in trials:
+        d = ((sample - sample[t]) ** 2).sum(1)
+        d[t] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(sample) - 1)]
+        to = np.sqrt(((c.points - sample[t]) ** 2).sum(1))
+        first = np.where(lists[near], to[None], np.inf).min(1)  # the nearest centroid that has each neighbour
+        found += [np.isfinite(first).sum() if r == float("inf") else (first <= to.min() * r).sum() for r in PROBES]
+        wanted += len(near)
+    good = [r for r, f in zip(PROBES, found, strict=True) if f >= WANTED_RECALL * wanted]
+    return good[0]
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def search(df: DataFrame, k: int = K, every: int = 100, probe: float = PROBE) -> DataFrame:
+def search(df: DataFrame, k: int = K, every: int = 100, probe: float | None = None) -> DataFrame:
     """query_id, rank, vec_id, score for every row whose vec_id is divisible by ``every``, against all rows."""
     rows = usable(df)
     spark = df.sparkSession
@@ -156,7 +183,9 @@ def search(df: DataFrame, k: int = K, every: int = 100, probe: float = PROBE) ->
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    centroids = build(np.array([r["v"] for r in picked]), min(MAX_LISTS, max(1, -(-n // LIST_SIZE))))
+    sample = np.array([r["v"] for r in picked])
+    centroids = build(sample, min(MAX_LISTS, max(1, -(-n // LIST_SIZE))))
+    probe = calibrated(sample, centroids, k) if probe is None else probe
 
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
