@@ -183,3 +183,13 @@ def preview(dst: PropertyGraph, src: PropertyGraph, node_key: list[str] | None =
     pairs = result.node_map.join(dst.nodes.select(F.col("id").alias("dst_id")), "dst_id", "left_semi")
     told = [r.asDict() for r in warnings(dst.nodes, src.nodes, pairs, on_node_conflict).orderBy("src_id", "type", "key").collect()] if node_key or rules else []
     return {"can_merge": True, "conflicts": [], "warnings": told, "report": result.report()}
+
+
+def format_text(report: dict, shown: int = 10) -> str:
+    """A preview's report in lines: counts, then conflicts and the first warnings."""
+    counts = report["report"]
+    lines = ["Merge preview", f"Can merge: {'yes' if report['can_merge'] else 'no'}"]
+    lines += [f"Nodes: {counts['nodes_created']} created, {counts['nodes_reused']} reused", f"Edges: {counts['edges_created']} created, {counts['edges_reused']} reused"]
+    lines += [f"Conflicts: {len(report['conflicts'])}"] + [f"  {c['type']} ({c['side']}): {c['identity'] or c['ids']}" for c in report["conflicts"]]
+    lines += [f"Warnings: {len(report['warnings'])}"] + [f"  {w['type']} {w['src_id']} -> {w['dst_id']}: {w['key'] or 'labels'} {w['dst_value']} / {w['src_value']}" for w in report["warnings"][:shown]]
+    return "\n".join(lines)

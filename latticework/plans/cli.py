@@ -114,7 +114,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
                 raise UsageError("--fail-on-conflict needs --dry-run")
             if a.dry_run:
                 report = merge.preview(left.graph, right.graph, keys, rules, a.edge_strategy, a.on_node_conflict)
-                emit(report)
+                print(merge.format_text(report)) if a.format == "text" else emit(report)
                 return int(a.fail_on_conflict and not report["can_merge"])
             if not a.output or os.path.abspath(a.output) in (left.path, right.path):
                 raise UsageError("merge needs an output other than its inputs")
