@@ -12,7 +12,7 @@ WIDTH = 5
 BATCH_WORDS = 300_000
 BATCH_TEXTS = 2048
 #: Words whose hashes a worker keeps; at this many it starts anew, results are the same.
-KEPT_WORDS = 500_000
+KEPT_WORDS = 150_000
 
 U = np.uint64
 STEPS = [U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9), U(0xD6E8FEB86659FD93), U(0xFF51AFD7ED558CCD)]

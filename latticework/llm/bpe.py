@@ -13,7 +13,7 @@ import hashlib
 import sys
 import unicodedata
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -27,9 +27,11 @@ from latticework.llm.runtime import table, text_or_empty
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 BLANKS = regex.compile(r"\s+")
 #: Distinct words whose ids a worker keeps; at this many the older ones make room, results are the same.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 220_000
+#: Texts taken from an Arrow batch at a time.
+BATCH_TEXTS = 1000
 #: Characters of text whose new words are merged together.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 
 
 def vocabulary_path() -> str:
@@ -67,8 +69,8 @@ class WordCoder:
         self.index, self.special = pair_index.load(path)
         self.by_id = self.index.tokens | {i: t for t, i in self.special.items()}
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.kept: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.path = path
         self.back = {c: b for b, c in enumerate(pair_index.byte_alphabet())}
         self.library = None
@@ -100,7 +102,13 @@ class WordCoder:
             a.byteswap()
         return a.tobytes()
 
-    def decode(self, ids: list[int]) -> str:
+    def unpacked(self, ids: bytes) -> array:
+        a = array("I", ids)
+        if sys.byteorder == "big":
+            a.byteswap()
+        return a
+
+    def decode(self, ids: Iterable[int]) -> str:
         """Tokens joined by spaces: the vocabulary file names no decoder."""
         return " ".join(map(self.by_id.__getitem__, ids))
 
@@ -121,12 +129,11 @@ class WordCoder:
         kept, plain = self.kept, []
         for w in new:
             if w[:2] == "\0\0" and w[2:] in self.special:
-                i = [self.special[w[2:]]]
-                kept[w] = (self.packed(i), self.decode(i))
+                kept[w] = self.packed([self.special[w[2:]]])
             else:
                 plain.append(w)
         for w, ids in zip(plain, self.index.encode([w.encode() for w in plain]), strict=True):
-            kept[w] = (self.packed(ids), self.decode(ids))
+            kept[w] = self.packed(ids)
 
     def code(self, texts: list[str]) -> Iterator[tuple[bytes, str]]:
         """(packed ids, decoded text) of each text."""
@@ -145,8 +152,8 @@ class WordCoder:
             self.learn(new)
             kept = self.kept
             for ws in lists:
-                got = [kept[w] for w in ws]
-                yield b"".join([g[0] for g in got]), " ".join([g[1] for g in got if g[1]])
+                ids = b"".join([kept[w] for w in ws])
+                yield ids, self.decode(self.unpacked(ids))
 
 
 def code_column(df: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text", keep_ids: bool = False) -> DataFrame:
@@ -163,19 +170,27 @@ def code_column(df: DataFrame, path: str, id_column: str = "doc_id", text_column
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = worker_coder(path)
         gc.disable()  # only long-lived tables and lists without cycles are made here
-        for b in batches:
-            rows = list(coder.code(b.column(1).to_pylist()))
-            cols = [
-                b.column(0),
-                pa.array([len(i) // 4 for i, _ in rows], pa.int64()),
-                pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows], pa.string()),
-                pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in rows], pa.string()),
-            ]
-            names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
-            if keep_ids:
-                cols += [pa.array([list(array("I", i)) for i, _ in rows], pa.list_(pa.int32())), pa.array([t for _, t in rows], pa.string())]
-                names += ["token_ids", "decoded"]
-            yield pa.RecordBatch.from_arrays(cols, names)
+        try:
+            for whole in batches:
+                for at in range(0, whole.num_rows, BATCH_TEXTS):
+                    yield coded(coder, whole.slice(at, BATCH_TEXTS))
+        finally:
+            coder.older = {}
+            gc.enable()
+
+    def coded(coder: WordCoder, b: pa.RecordBatch) -> pa.RecordBatch:
+        rows = list(coder.code(b.column(1).to_pylist()))
+        cols = [
+            b.column(0),
+            pa.array([len(i) // 4 for i, _ in rows], pa.int64()),
+            pa.array([hashlib.sha256(i).hexdigest() for i, _ in rows], pa.string()),
+            pa.array([hashlib.sha256(t.encode()).hexdigest() for _, t in rows], pa.string()),
+        ]
+        names = [id_column, "n_tokens", "ids_sha256", "decoded_sha256"]
+        if keep_ids:
+            cols += [pa.array([list(coder.unpacked(i)) for i, _ in rows], pa.list_(pa.int32())), pa.array([t for _, t in rows], pa.string())]
+            names += ["token_ids", "decoded"]
+        return pa.RecordBatch.from_arrays(cols, names)
 
     return df.select(df[id_column], text_or_empty(text_column).alias("text")).mapInArrow(run, schema)
 

@@ -42,7 +42,7 @@ def signed(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = bags.WordHashes()
-        for b in batches:
+        for b in (whole.slice(at, 2000) for whole in batches for at in range(0, whole.num_rows, 2000)):
             for first, lists in bags.batches(b.column(2).to_pylist()):
                 part = b.slice(first, len(lists))
                 text, element, weight = bags.bag(lists, hashes)
@@ -61,7 +61,7 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last, mine = bags.WordHashes(), None, None
-        for b in batches:
+        for b in (whole.slice(at, 1000) for whole in batches for at in range(0, whole.num_rows, 1000)):
             keep = []
             for key, one, other in zip(b.column(0).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
                 if key != last:

@@ -34,7 +34,7 @@ SAMPLE = 4000
 GRADES = 3
 #: A document is kept where P(grade >= 1) reaches this.
 KEEP_AT = 0.5
-KEPT_WORDS = 300_000
+KEPT_WORDS = 100_000
 
 SHAPES = (
     (re.compile(r"[0-9]+"), "9"),
@@ -186,8 +186,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drop the documents that the classifier rejects; columns as given."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    columns = tuple(docs.columns)
-    return score(docs, model, carry=columns).filter("keep").select(*columns)
+    row = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    return score(row, model, carry=("__row",)).filter("keep").select("__row.*")
 
 
 QUERIES = {"op10_quality": op10_quality}

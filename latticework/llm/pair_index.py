@@ -18,6 +18,8 @@ import numpy as np
 
 #: Ranks below this have long position lists and are merged as arrays; the rest one position at a time.
 ARRAY_RANKS = 6000
+#: Words that share one index: bounds its memory.
+TOGETHER = 40_000
 #: Batches of fewer symbols skip the array phase.
 ARRAY_SYMBOLS = 20_000
 
@@ -105,9 +107,11 @@ class PairIndex:
             self.enlist(where, heap, self.ranks(pairs_a, pairs_b), np.concatenate((p, before)))
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word (UTF-8 bytes), all words merged together."""
-        if not words:
-            return []
+        """Token ids of each word (UTF-8 bytes), ``TOGETHER`` words at a time."""
+        return [ids for at in range(0, len(words), TOGETHER) for ids in self.merged(words[at : at + TOGETHER])]
+
+    def merged(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word, all of them merged together."""
         size = np.array([len(w) for w in words])
         ends = np.cumsum(size + 1) - 1  # a mark that no pair crosses stands after each word
         n = int(ends[-1]) + 1

@@ -103,11 +103,14 @@ def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, id_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = worker_counter(path)
         gc.disable()  # only long-lived tables and lists without cycles are made here
-        for b in batches:
-            for at in range(0, b.num_rows, BATCH_TEXTS):
-                part = b.slice(at, BATCH_TEXTS)
-                n = pa.array(counter.count(part.column(2).to_pylist()), pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n], [id_column, "n_bytes", "n_tokens"])
+        try:
+            for b in batches:
+                for at in range(0, b.num_rows, BATCH_TEXTS):
+                    part = b.slice(at, BATCH_TEXTS)
+                    n = pa.array(counter.count(part.column(2).to_pylist()), pa.int64())
+                    yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), n], [id_column, "n_bytes", "n_tokens"])
+        finally:
+            gc.enable()
 
     text = text_or_empty(text_column)
     rows = df.select(df[id_column], F.octet_length(text).cast("long").alias("n_bytes"), text.alias("text"))
