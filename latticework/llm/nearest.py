@@ -42,8 +42,9 @@ CLOSURE, REPLICAS = 1.03, 4
 PROBES = (1.02, 1.05, 1.08, 1.1, 1.15, 1.2, 1.3, 1.5, 2.0, 4.0, float("inf"))
 WANTED_RECALL, TRIALS = 0.97, 200
 DEGREE = 16
-#: Vectors of a list in one task.
-SALT_ROWS = 1024
+#: Lists (neighbours by number, and so in space) that a task searches together, and vectors of them in one task.
+SHELF = 16
+SALT_ROWS = 8192
 K = 10
 
 
@@ -200,35 +201,43 @@ def search(df: DataFrame, k: int = K, every: int = 100, probe: float | None = No
     sizes = np.zeros(len(centroids.points), np.int64)
     for r in counted:
         sizes[r["list"]] = r["count"]
-    salts = np.maximum(1, -(-sizes // SALT_ROWS))
+    shelves = np.add.reduceat(sizes, np.arange(0, len(sizes), SHELF))
+    salts = np.maximum(1, -(-shelves // SALT_ROWS))
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                found = [[(i, s) for i in centroids.search(q, probe, sizes, 8 * k * REPLICAS) for s in range(salts[i])] for q in matrix(part.column(1))]
-                back = pa.array(np.repeat(np.arange(part.num_rows), [len(f) for f in found]))
-                yield pa.RecordBatch.from_arrays([pa.array([i for f in found for i, _ in f], pa.int32()), pa.array([s for f in found for _, s in f], pa.int32()), part.column(0).take(back), part.column(1).take(back)], ["list", "salt", "query_id", "q"])
-
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(ask, "list int, salt int, query_id long, q array<double>")
-    salt_of = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("list") + 1))
-    salted = postings.withColumn("salt", salt_of.cast("int"))
+                rows_of = []
+                for k_, q in enumerate(matrix(part.column(1))):
+                    asked: dict[int, list[int]] = {}
+                    for i in centroids.search(q, probe, sizes, 8 * k * REPLICAS):
+                        asked.setdefault(i // SHELF, []).append(i)
+                    rows_of += [(shelf, s, k_, lists) for shelf, lists in asked.items() for s in range(salts[shelf])]
+                back = pa.array([r[2] for r in rows_of], pa.int32())
+                cols = [pa.array([r[0] for r in rows_of], pa.int32()), pa.array([r[1] for r in rows_of], pa.int32()), part.column(0).take(back), part.column(1).take(back), pa.array([r[3] for r in rows_of], pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(cols, ["shelf", "salt", "query_id", "q", "lists"])
+
+    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(ask, "shelf int, salt int, query_id long, q array<double>, lists array<int>")
+    shelved = postings.withColumn("shelf", F.floor(F.col("list") / SHELF).cast("int"))
+    salt_of = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("shelf") + 1))
+    salted = shelved.withColumn("salt", salt_of.cast("int"))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        """The ``k`` nearest of one part of a list to each query that asks it."""
-        ids, out = left["vec_id"].to_numpy(), []
+        """The ``k`` nearest of one part of a shelf to each query that asks for lists of it."""
+        out = [pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})]
         if len(left) and len(right):
-            x = np.stack(left["v"].to_numpy())
-            for query, q in zip(right["query_id"], right["q"], strict=True):
-                d = np.sqrt(((x - q) ** 2).sum(1))
-                d[ids == query] = np.inf
-                first = np.lexsort((ids, d))
-                first = first[: k + np.count_nonzero(np.isinf(d))]
-                first = first[np.isfinite(d[first])][:k]
-                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[first], "score": d[first]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": pd.Series([], dtype="int64"), "vec_id": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float64")})
-
-    part = salted.groupBy("list", "salt").cogroup(queries.groupBy("list", "salt")).applyInPandas(near, "query_id long, vec_id long, score double")
+            x, ids, own = np.stack(left["v"].to_numpy()), left["vec_id"].to_numpy(), left["list"].to_numpy()
+            for query, q, lists in zip(right["query_id"], right["q"], right["lists"], strict=True):
+                at = np.flatnonzero(np.isin(own, lists) & (ids != query))
+                d = np.sqrt(((x[at] - q) ** 2).sum(1))
+                order = np.lexsort((ids[at], d))
+                _, first = np.unique(ids[at][order], return_index=True)  # a vector of several lists counts once
+                best = order[np.sort(first)[:k]]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": d[best]}))
+        return pd.concat(out)
+
+    part = salted.groupBy("shelf", "salt").cogroup(queries.groupBy("shelf", "salt")).applyInPandas(near, "query_id long, vec_id long, score double")
     one = part.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return one.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
