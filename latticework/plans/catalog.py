@@ -98,7 +98,7 @@ def _(s, d):
 
 @query("node_by_id", f"SELECT id, {LABELS} AS labels, name FROM nodes WHERE id = 30000000011")
 def _(s, d):
-    return nodes(s, d).filter("id = 30000000011").select("id", labels_text(), V.prop_str("name").alias("name"))
+    return T.commerce_node(s, d, 30000000011).select("id", labels_text(), V.prop_str("name").alias("name"))
 
 
 @query("edge_by_id", "SELECT id, src, dst, label FROM edges WHERE id = 400000000000007")
@@ -123,7 +123,13 @@ def _(s, d):
 
 @query("where_compound", "SELECT id, name, acctbal FROM nodes WHERE kind = 'Customer' AND acctbal >= 5000 AND segment = 'BUILDING'")
 def _(s, d):
-    return nodes(s, d).filter(has_label(["Customer"]) & (V.prop_float("acctbal") >= 5000) & (V.prop_str("segment") == "BUILDING")).select("id", V.prop_str("name").alias("name"), V.prop_float("acctbal").alias("acctbal"))
+    rich = T.commerce_nodes(s, d, ("Customer",), only=(F.col("c_acctbal") >= 5000) & (F.col("c_mktsegment") == "BUILDING"))
+    return rich.select("id", V.prop_str("name").alias("name"), V.prop_float("acctbal").alias("acctbal"))
+
+
+@query("where_generic", "SELECT id, name FROM nodes WHERE kind IN ('Customer', 'Supplier') AND acctbal >= 5000 AND id % 2 = 0")
+def _(s, d):
+    return nodes(s, d).filter(has_label(["Party"]) & (V.prop_float("acctbal") >= 5000) & (F.col("id") % 2 == 0)).select("id", V.prop_str("name").alias("name"))
 
 
 @query("skip_limit", "SELECT id FROM nodes WHERE kind = 'Part' ORDER BY id LIMIT 25 OFFSET 40")

@@ -29,8 +29,9 @@ def _nodes(df: DataFrame, kind: str, key: str, labels: list[str], props: dict[st
     return df.select(node_id(kind, key).alias("id"), F.array(*map(F.lit, labels)).alias("labels"), V.typed_props(props).alias("props"))
 
 
-def commerce_nodes(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(KINDS)) -> DataFrame:
-    c, t = F.col, lambda n: read(spark, sf_dir, n)
+def commerce_nodes(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tuple(KINDS), only: Column | None = None) -> DataFrame:
+    """Nodes of the kinds; ``only`` filters the tables' own columns."""
+    c, t = F.col, lambda n: read(spark, sf_dir, n) if only is None else read(spark, sf_dir, n).filter(only)
     made = {
         "Region": lambda: _nodes(t("region"), "Region", "r_regionkey", ["Region"], {"name": ("str", c("r_name"))}),
         "Nation": lambda: _nodes(t("nation"), "Nation", "n_nationkey", ["Nation"], {"name": ("str", c("n_name"))}),
@@ -45,6 +46,19 @@ def commerce_nodes(spark: SparkSession, sf_dir: str, kinds: tuple[str, ...] = tu
     return out
 
 
+#: Table and key column of each kind of node.
+KEYS = {"Region": ("region", "r_regionkey"), "Nation": ("nation", "n_nationkey"), "Customer": ("customer", "c_custkey"), "Supplier": ("supplier", "s_suppkey"), "Part": ("part", "p_partkey"), "Order": ("orders", "o_orderkey")}
+
+
+def commerce_node(spark: SparkSession, sf_dir: str, node: int) -> DataFrame:
+    """The node of one id: its kind names the table, and its key is filtered in the scan."""
+    kind = next((k for k, n in KINDS.items() if n == (node - 1) // NODE_STEP), None)
+    if kind is None:
+        return commerce_nodes(spark, sf_dir, ("Region",)).limit(0)
+    key = (node - 1) % NODE_STEP
+    return commerce_nodes(spark, sf_dir, (kind,), only=F.col(KEYS[kind][1]) == key)
+
+
 def _edges(df: DataFrame, kind: int, key: Column, src: Column, dst: Column, label: str, props: dict[str, tuple[str, Column]] | None = None) -> DataFrame:
     made = V.typed_props(props) if props else F.create_map().cast(V.PROPS_TYPE)
     return df.select((F.lit(kind * EDGE_STEP).cast("long") + key.cast("long")).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), made.alias("props"))
