@@ -144,8 +144,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
     return fit(np.array([r["grade"] for r in found], int), [np.array(r["i"], np.int64) for r in found], [np.array(r["v"], float) for r in found])
 
 
-def score(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_id",), keep_at: float = KEEP_AT) -> DataFrame:
-    """``carry`` columns, then score, expected_grade, p_grade_1, p_grade_2 and keep, for every whole text."""
+def score(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_id",), keep_at: float = KEEP_AT, inside: str | None = None) -> DataFrame:
+    """``carry`` columns, then score, expected_grade, p_grade_1, p_grade_2 and keep, for every whole text.
+
+    The text is column ``text``, or field ``text`` of the carried struct ``inside``.
+    """
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in carry) + ", score double"
     weights = model.weights
@@ -157,8 +160,9 @@ def score(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_i
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 out = []
-                for text in part.column(0).to_pylist():
-                    words = text.split()
+                texts = part.column(carry.index(inside)).field("text") if inside else part.column(len(carry))
+                for text in texts.to_pylist():
+                    words = (text or "").split()
                     try:
                         total = sum([kept[x] for x in words])
                     except KeyError:
@@ -170,9 +174,9 @@ def score(docs: DataFrame, model: OrdinalModel, carry: tuple[str, ...] = ("doc_i
                                 kept[x] = w[i] + w[j]
                         total = sum([kept[x] for x in words])
                     out.append((total + w[REPEAT] * repeats(words)) / max(len(words), 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(out, pa.float64())], [*carry, "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(carry)], pa.array(out, pa.float64())], [*carry, "score"])
 
-    scored = docs.select(text_or_empty().alias("__text"), *[docs[c] for c in carry]).mapInArrow(run, schema)
+    scored = docs.select(*[docs[c] for c in carry], *([] if inside else [text_or_empty().alias("__text")])).mapInArrow(run, schema)
     tails = [1 / (1 + F.exp(F.lit(t) - F.col("score"))) for t in model.thresholds]
     out = scored.select(*carry, "score", sum(tails[1:], tails[0]).alias("expected_grade"), *[t.alias(f"p_grade_{k}") for k, t in enumerate(tails, 1)])
     return out.withColumn("keep", F.col("p_grade_1") >= keep_at)
@@ -186,8 +190,8 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: drop the documents that the classifier rejects; columns as given."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    row = docs.select("text", F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
-    return score(row, model, carry=("__row",)).filter("keep").select("__row.*")
+    row = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("__row"))
+    return score(row, model, carry=("__row",), inside="__row").filter("keep").select("__row.*")
 
 
 QUERIES = {"op10_quality": op10_quality}

@@ -64,11 +64,15 @@ def stored(df: DataFrame) -> DataFrame:
 
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch where the session has Spark's default: rows here hold whole texts.
+ARROW_ROWS = 2000
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors, which may not have it on their path.  Once for each application."""
+    """Send this package to the executors, which may not have it on their path, once for each application; set batches of texts."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = Path(__file__).resolve().parents[2]
