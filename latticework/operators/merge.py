@@ -132,7 +132,7 @@ def fold(layers: DataFrame, mode: str) -> DataFrame:
 def key_conflicts(dst: DataFrame, src: DataFrame, keys: list[str]) -> DataFrame:
     """type, side, identity, ids: what keeps a merge by node key from being plain."""
     with_text = lambda df: df.select("id", V.identity_key(df, keys).alias("identity"))
-    s, d = with_text(src), with_text(dst)
+    s, d = cut(with_text(src)), cut(with_text(dst))  # narrow, and read five times below
     missing = s.filter("identity is null").select(F.lit("missing_node_key").alias("type"), F.lit("source").alias("side"), F.lit(None).cast("string").alias("identity"), F.array("id").alias("ids"))
     several = lambda df: df.filter("identity is not null").groupBy("identity").agg(F.array_sort(F.collect_list("id")).alias("ids")).filter("size(ids) > 1")
     duplicate = lambda df, side: several(df).select(F.lit("duplicate_node_key").alias("type"), F.lit(side).alias("side"), "identity", "ids")
