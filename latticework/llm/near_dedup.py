@@ -12,7 +12,8 @@ are too far from each other are told so without pairing them.
 
 Null texts count as empty; all texts without words that are equal are one
 class.  Repeated rows stay rows of their own with the same class.  A class is
-named by its smallest doc_id (null if none has one).
+named by its smallest doc_id; classes without ids are numbered downwards from
+-1, or from below the least id where ids are negative.
 """
 
 from __future__ import annotations
@@ -123,8 +124,8 @@ def prefix_pairs(bags_of: DataFrame, facts: DataFrame) -> DataFrame:
     return near.select(F.least("xk", "yk").alias("a"), F.greatest("xk", "yk").alias("b")).distinct()
 
 
-def classes(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, class_id for every row."""
+def rooted(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
+    """doc_id, key of every row; key, rep_id (least doc_id of the text) and root (a key, one for each class) of every text."""
     rows_of = cut(signed(docs, n_bands, rows))
     reps = rows_of.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     placed = reps.select("key", "size", "rep_id", F.explode("bands").alias("band"))
@@ -146,8 +147,8 @@ def classes(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFram
     roots = components(links)
 
     # then whatever a bucket still holds apart
-    rooted = inside.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    still = cut(apart(rooted, "band").select("band", "key", "root"))
+    parts = inside.select("band", "key").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+    still = cut(apart(parts, "band").select("band", "key", "root"))
     open_keys = still.select("key").distinct()
     alone = lonely(texts, open_keys)
     common = F.col("size") - F.coalesce("alone", F.lit(0))
@@ -162,7 +163,29 @@ def classes(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFram
         joined = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("ar", "a").alias("a"), F.coalesce("br", "b").alias("b"))
         over = components(joined.distinct()).select(F.col("node").alias("root"), F.col("root").alias("__over"))
         named = named.join(over, "root", "left").select("key", "rep_id", F.coalesce("__over", "root").alias("root"))
+    return rows_of, cut(named)
+
+
+def nameless(named: DataFrame, below: int) -> DataFrame:
+    """root, number of the classes without ids: ``below`` - 1, - 2 and so on in the order of their roots.
+
+    Classes are counted by the first two bytes of their roots, which are
+    digests, so what one task sums up is 65,536 rows at most.
+    """
+    without = named.groupBy("root").agg(F.min("rep_id").alias("least")).filter("least is null").select("root", F.substring("root", 1, 2).alias("head"))
+    ahead = Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)
+    heads = without.groupBy("head").agg(F.count(F.lit(1)).alias("n")).select("head", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("head").orderBy("root"))
+    return without.withColumn("place", place).join(heads, "head").select("root", (F.lit(below) - F.col("before") - F.col("place")).alias("number"))
+
+
+def classes(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """doc_id, class_id for every row."""
+    rows_of, named = rooted(docs, n_bands, rows)
     least = named.groupBy("root").agg(F.min("rep_id").alias("class_id"))
+    if not named.filter("rep_id is null").isEmpty():
+        below = min(0, named.agg(F.min("rep_id")).first()[0] or 0)
+        least = least.join(nameless(named, below), "root", "left").select("root", F.coalesce("class_id", "number").alias("class_id"))
     return rows_of.select("doc_id", "key").join(named.join(least, "root").select("key", "class_id"), "key").select("doc_id", "class_id")
 
 
@@ -171,10 +194,21 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each class, the document with the smallest id stays, once."""
+    """Pipeline stage: of each class one row stays.
+
+    It is the one with the smallest doc_id, those without coming last; then
+    the key of the text and the other columns decide.
+    """
     columns = docs.columns
-    keep = classes(docs).filter("doc_id <=> class_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"])).select(*columns).dropDuplicates(["doc_id"])
+    _, named = rooted(docs)
+    best = named.groupBy("root").agg(F.min(F.struct(F.col("rep_id").isNull().alias("none"), "rep_id", "key")).alias("best"))
+    keep = best.select(F.col("best.key").alias("__key"), F.col("best.rep_id").alias("__rep"))
+    keyed = docs.withColumns({"__text_key": text_key(), "__id": docs["doc_id"].cast("long")})
+    found = keyed.join(keep, (keyed["__text_key"] == keep["__key"]) & keyed["__id"].eqNullSafe(keep["__rep"]))
+    # maps have no order of their own
+    order = [F.col(c).cast("string") if "map<" in t else F.col(c) for c, t in docs.dtypes if c != "text"] + [F.col("text")]
+    one = found.groupBy("__key").agg(F.min_by(F.struct(*columns), F.struct(*order)).alias("row"))
+    return one.select(*[F.col("row")[c].alias(c) for c in columns])
 
 
 QUERIES = {"op4_near_dedup": op4_near_dedup}

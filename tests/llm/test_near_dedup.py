@@ -121,5 +121,22 @@ def test_stage_keeps_one_of_each_class(spark):
     assert sorted((r["doc_id"] or 0, r["class_id"]) for r in out.collect()) == [(0, "q"), (2, "y"), (9, "z")]
 
 
+def test_stage_keeps_classes_without_ids_and_texts_that_share_one(spark):
+    one, two, three, four = "a b c d e f g h", "other words stand here now", "no id at all in here", "nor does this one have any"
+    rows = [(7, one, "p"), (7, two, "q"), (None, one, "r"), (None, three, "s"), (None, four, "u"), (None, four, "t"), (3, two, "v"), (7, two, "w")]
+    want = [(-1, three, "s"), (-1, four, "t"), (3, two, "v"), (7, one, "p")]
+    for some in (rows, rows[::-1]):
+        out = near_dedup.stage(spark, spark.createDataFrame(some, "doc_id long, text string, lang string"), "")
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"], r["lang"]) for r in out.collect()) == sorted(want)
+
+
+def test_classes_without_ids_have_names_of_their_own(spark):
+    texts = ["no id at all in here", "nor does this one have any", "nor does this one have any", "a third text stands alone"]
+    df = spark.createDataFrame([(None, t) for t in texts] + [(-4, "text with an id below zero")], "doc_id long, text string")
+    got = sorted((r["doc_id"] or 0, r["class_id"]) for r in near_dedup.classes(df).collect())
+    assert [c for d, c in got if d] == [-4]
+    assert sorted(Counter(c for d, c in got if not d).values()) == [1, 1, 2] and max(c for d, c in got if not d) == -5
+
+
 def test_empty(spark):
     assert near_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
