@@ -146,15 +146,23 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The words taken of a document, over its size, give its number of copies; a
     fraction becomes one more copy by the document's hash, so that each
     source's words come near its target.  Documents without words stay once.
+    Rows equal in doc_id, text and source share the copies of all of them.
     """
     columns = docs.columns
-    shares = mix(docs).select(F.col("doc_id").alias("__id"), "row_hash", (F.col("taken") / F.greatest(F.col("size"), F.lit(1))).alias("__share"), (F.col("size") == 0).alias("__blank"))
-    chance = F.pmod(F.xxhash64(F.lit(SEED + 3), "row_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    copies = F.when(F.col("__blank"), 1).otherwise(F.floor(F.col("__share") + chance)).cast("int")
-    chosen = shares.withColumn("__copies", copies).filter("__copies > 0").groupBy("__id", F.col("row_hash").alias("__mix_hash")).agg(F.first("__copies").alias("__copies"))
-    keyed = docs.withColumn("__hash", F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")))
-    found = keyed.join(chosen, keyed["doc_id"].eqNullSafe(chosen["__id"]) & (keyed["__hash"] == chosen["__mix_hash"]))
-    return found.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*columns)
+    # rows of one document and source: the mix's totals for them are handed out again among them
+    who = F.xxhash64(F.lit(SEED), F.col("doc_id").isNull(), "doc_id", F.col("source").isNull(), "source")
+    shares = mix(docs).groupBy(who.alias("__from"), F.col("row_hash").alias("__mix_hash")).agg(F.sum("taken").alias("__taken"), F.max("size").alias("__size"), F.count(F.lit(1)).alias("__rows"))
+    chance = F.pmod(F.xxhash64(F.lit(SEED + 3), "__mix_hash"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = F.when(F.col("__size") == 0, F.col("__rows")).otherwise(F.floor(F.col("__taken") / F.greatest(F.col("__size"), F.lit(1)) + chance))
+    chosen = shares.select("__from", "__mix_hash", "__rows", copies.alias("__copies")).filter("__copies > 0")
+    keyed = docs.withColumns({"__hash": F.xxhash64(F.lit(SEED), F.col("doc_id"), F.col("text")), "__who": who})
+    found = keyed.join(chosen, (keyed["__hash"] == chosen["__mix_hash"]) & (keyed["__who"] == chosen["__from"]))
+    # maps have no order of their own
+    order = [F.col(c).cast("string") if "map<" in t else F.col(c) for c, t in docs.dtypes if c not in ("doc_id", "text", "source")]
+    place = F.row_number().over(Window.partitionBy("__hash", "__who").orderBy(*order or [F.lit(1)]))
+    own = F.floor(F.col("__copies") / F.col("__rows")) + (F.col("__place") <= F.col("__copies") % F.col("__rows")).cast("long")
+    dealt = found.withColumn("__place", place).withColumn("__own", own.cast("int")).filter("__own > 0")
+    return dealt.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__own")))).select(*columns)
 
 
 QUERIES = {"op2_mixing": op2_mixing}

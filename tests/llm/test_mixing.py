@@ -98,6 +98,14 @@ def test_stage_repeats_documents_near_their_targets(spark):
     assert all(abs(counts[s] * 50 - target[s]) < 0.1 * target[s] for s in counts)
 
 
+def test_stage_keeps_the_plan_for_repeated_rows(spark):
+    rows = [(1, "w " * 50, f"s{k}", f"n{i % 5}", "y") for k in range(3) for i in range(300)]
+    df = table(spark, rows)
+    plan = mixing.mix(df).groupBy("source").agg((F.sum("taken") / 50).alias("n")).collect()
+    counts = {r["source"]: r["n"] for r in mixing.stage(spark, df, "").groupBy("source").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert all(abs(counts.get(r["source"], 0) - r["n"]) <= 0.1 * r["n"] + 2 for r in plan), (plan, counts)
+
+
 def test_empty(spark):
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.mix(table(spark, [(1, None, None, "", "")])).collect()[0]["taken"] == 0
