@@ -113,12 +113,17 @@ def shortest_path(graph: PropertyGraph, start: int, goal: int, label: str | None
     return graph.spark.createDataFrame(list(enumerate(reversed(path))), "pos int, id long").orderBy("pos")
 
 
+def labelled(edges: DataFrame, hops: DataFrame, label: str | None = None) -> DataFrame:
+    """The hops (src, dst and any other columns) with the label of the newest edge of each."""
+    kept = edges if label is None else edges.filter(F.col("label") == label)
+    named = hops.join(kept.select("src", "dst", "label", F.col("id").alias("edge")), ["src", "dst"])
+    return named.groupBy(*hops.columns).agg(F.max_by("label", "edge").alias("label"))
+
+
 def hop_labels(edges: DataFrame, path: DataFrame, label: str | None = None) -> DataFrame:
     """pos, src, dst, label: for each hop of a (pos, id) path the label of its newest edge."""
     hops = path.select(F.col("pos"), F.col("id").alias("src")).join(path.select((F.col("pos") - 1).alias("pos"), F.col("id").alias("dst")), "pos")
-    kept = edges if label is None else edges.filter(F.col("label") == label)
-    named = hops.join(kept.select("src", "dst", "label", F.col("id").alias("edge")), ["src", "dst"])
-    return named.groupBy("pos", "src", "dst").agg(F.max_by("label", "edge").alias("label"))
+    return labelled(edges, hops.select("pos", "src", "dst"), label)
 
 
 def branches(graph: PropertyGraph, node: int) -> DataFrame:

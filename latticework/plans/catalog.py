@@ -314,6 +314,12 @@ def _(s, d):
     return own.groupBy("src", "dst").agg(F.max_by("label", "id").alias("label"))
 
 
+@query("hop_labels_all", "SELECT src, dst, max_by(label, id) AS label FROM edges GROUP BY 1, 2")
+def _(s, d):
+    own = edges(s, d)
+    return traverse.labelled(own, own.select("src", "dst").distinct())
+
+
 @query("reasoning_branches", f"SELECT e.label, e.dst AS to_node, {LABELS} AS labels, n.name FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.src = {START}")
 def _(s, d):
     out = edges(s, d).join(first_customer(s, d).withColumnRenamed("id", "src"), "src", "left_semi").select("label", F.col("dst").alias("id"))
