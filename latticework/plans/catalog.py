@@ -214,6 +214,11 @@ def _(s, d):
     return induced_edges(edges(s, d), nodes(s, d).filter("id % 3 = 0")).select("id", "src", "dst")
 
 
+@query("edges_between_labels", "SELECT id, src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE kind IN ('Order', 'Part', 'Supplier')) AND dst IN (SELECT id FROM nodes WHERE kind IN ('Order', 'Part', 'Supplier'))")
+def _(s, d):
+    return induced_edges(edges(s, d), nodes(s, d).filter(has_label(["Order", "Part", "Supplier"]))).select("id", "src", "dst")
+
+
 @query("two_hop", "SELECT a.src AS customer, b.dst AS part, count(*) AS n FROM edges a JOIN edges b ON a.dst = b.src WHERE a.label = 'PLACED' AND b.label = 'CONTAINS' GROUP BY 1, 2")
 def _(s, d):
     a = edges(s, d, "PLACED").select(F.col("src").alias("customer"), F.col("dst").alias("mid"))
@@ -339,6 +344,17 @@ def _(s, d):
     return traverse.bfs_from(cut(edges(s, d)), starts, 3).select("start", "id", "depth")
 
 
+@query(
+    "multi_source_hops_all",
+    """, walk AS (SELECT id AS start, id, 0 AS depth FROM nodes WHERE kind = 'Supplier' UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 3)
+    SELECT start, id, min(depth) AS depth FROM walk GROUP BY 1, 2""",
+)
+def _(s, d):
+    from latticework.functions.checkpoints import cut
+
+    return traverse.bfs_from(cut(edges(s, d)), nodes(s, d, "Supplier").select(F.col("id").alias("start")), 3).select("start", "id", "depth")
+
+
 @query("bfs_ancestors", """, walk AS (SELECT 10000000002 AS id, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY id""")
 def _(s, d):
     from latticework.functions.checkpoints import cut
