@@ -7,6 +7,9 @@ of their source.  Record ids are made from what they name, so reruns agree.
 Null html, url, headers or dates count as empty; a response without text still
 gives both records, the conversion with an empty block.  Repeated rows repeat
 their records.  Blocks are whole, however long.
+
+A payload of bytes is kept as it is: source digests are those the source
+gives, or are computed from its bytes, and only the text is decoded.
 """
 
 from __future__ import annotations
@@ -16,6 +19,7 @@ import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,6 +34,7 @@ DATE = "2024-01-01T00:00:00Z"
 BATCH_ROWS = 128
 
 RESPONSE = "record_id string, target_uri string, warc_date string, http_headers string, payload string"
+READ = RESPONSE.replace("payload string", "payload binary") + ", block_digest string, payload_digest string"
 DERIVED = (
     "record_type string, record_id string, refers_to string, target_uri string, refers_to_date string, content_type string, "
     "content_length long, block_digest string, payload_digest string, source_block_digest string, source_payload_digest string, source_headers string, block string"
@@ -56,12 +61,52 @@ def plain(value: str) -> str:
     return " ".join(value.split())
 
 
-def derive_one(rid: str, uri: str, date: str, headers: str, payload: str) -> list[tuple]:
-    """The metadata and the conversion record of one response."""
-    blocks, title, links = parse(payload)
+def unchunked(body: bytes) -> bytes:
+    """A body without its chunk lines; as it is where it has none, as in files that were stored without."""
+    out, at = [], 0
+    while mark := re.compile(rb"([0-9A-Fa-f]{1,8})[ \t]*(?:;[^\r\n]*)?\r\n").match(body, at):
+        size = int(mark[1], 16)
+        if not size:
+            return b"".join(out)
+        out.append(body[mark.end() : mark.end() + size])
+        at = mark.end() + size + 2
+    return b"".join(out) if out and at >= len(body) else body
+
+
+def decoded(headers: str, body: bytes) -> str:
+    """The text of a body by its transfer encoding, content encoding and charset; none if it is of no text type."""
+    fields = {n.lower(): v for n, v in header_fields(headers)}
+    kind = fields.get("content-type", "").lower()
+    if kind and not re.match(r"text/|application/[^;]*(html|xml|json|javascript)", kind):
+        return ""
+    if "chunked" in fields.get("transfer-encoding", "").lower():
+        body = unchunked(body)
+    for coding in reversed(re.findall(r"[\w-]+", fields.get("content-encoding", "").lower())):
+        if coding == "br":  # no decoder here
+            return ""
+        if coding in ("gzip", "x-gzip", "deflate"):
+            for bits in (47, -15):
+                try:
+                    body = zlib.decompressobj(bits).decompress(body)
+                    break
+                except zlib.error:
+                    continue
+    named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind)
+    meta = re.search(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:4096], re.I)
+    names = ["utf-8-sig"] if body.startswith(b"\xef\xbb\xbf") else [named[1]] if named else [meta[1].decode()] if meta else []
+    for name in [*names, "utf-8"]:
+        try:
+            return body.decode("cp1252" if name.lower() in ("iso-8859-1", "latin1", "latin-1", "us-ascii", "ascii") else name)
+        except (LookupError, UnicodeDecodeError):
+            continue
+    return body.decode("cp1252", "replace")
+
+
+def derive_one(rid: str, uri: str, date: str, headers: str, body: bytes, block_digest: str = "", payload_digest: str = "", raw: bool = False) -> list[tuple]:
+    """The metadata and the conversion record of one response; a body that is not ``raw`` is a text in UTF-8."""
+    blocks, title, links = parse(decoded(headers, body) if raw else body.decode("utf-8", "replace"))
     head = headers if not headers or headers.endswith("\r\n\r\n") else headers.rstrip("\r\n") + "\r\n\r\n"
-    body = payload.encode()
-    source = (digest(head.encode() + body), digest(body))
+    source = (block_digest or digest(head.encode() + body), payload_digest or digest(body))
     rid = rid or record_id("response", uri, date, *source)
     fields = [("source-record", rid), ("source-block-digest", source[0]), ("source-payload-digest", source[1])]
     fields += [(f"source-header-{n}", v) for n, v in header_fields(headers)]
@@ -79,8 +124,9 @@ def derive_one(rid: str, uri: str, date: str, headers: str, payload: str) -> lis
 
 
 def derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
-    """``carry`` columns and the derived records of every response (columns of RESPONSE)."""
+    """``carry`` columns and the derived records of every response (columns of RESPONSE, or of READ with bytes and digests)."""
     kinds = dict(responses.dtypes)
+    raw = kinds["payload"] == "binary"
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in carry), DERIVED])
     names = [c.split()[0] for c in DERIVED.split(", ")]
     types = [pa.int64() if c.endswith(" long") else pa.string() for c in DERIVED.split(", ")]
@@ -90,14 +136,16 @@ def derivatives(responses: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
             for at in range(0, b.num_rows, BATCH_ROWS):
                 part = b.slice(at, BATCH_ROWS)
                 rows, back = [], []
-                for i, row in enumerate(zip(*(c.to_pylist() for c in part.columns[:5]), strict=True)):
-                    made = derive_one(*row)
+                for i, row in enumerate(zip(*(c.to_pylist() for c in part.columns[:7]), strict=True)):
+                    made = derive_one(*row, raw)
                     rows += made
                     back += [i] * len(made)
                 cols = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(back, pa.int32())) for c in part.columns[5:]), *cols], [*carry, *names])
+                yield pa.RecordBatch.from_arrays([*(c.take(pa.array(back, pa.int32())) for c in part.columns[7:]), *cols], [*carry, *names])
 
-    given = [F.coalesce(responses[c.split()[0]].cast("string"), F.lit("")).alias(f"__{c.split()[0]}") for c in RESPONSE.split(", ")]
+    given = [F.coalesce(responses[c].cast("string"), F.lit("")).alias(f"__{c}") for c in ("record_id", "target_uri", "warc_date", "http_headers")]
+    given.append(F.coalesce(responses["payload"].cast("binary"), F.lit(b"")).alias("__payload"))
+    given += [(F.coalesce(responses[c], F.lit("")) if c in kinds else F.lit("")).alias(f"__{c}") for c in ("block_digest", "payload_digest")]
     return responses.select(*given, *[responses[c] for c in carry]).mapInArrow(run, schema)
 
 
@@ -134,9 +182,11 @@ def read_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
 
 
 def read_responses(spark: SparkSession, path: str) -> DataFrame:
-    """RESPONSE rows of the response records in WARC files; a file is one row of at most 2 GB while it is read."""
+    """READ rows of the response records in WARC files; a file is one row of at most 2 GB while it is read."""
     ship(spark)
-    names = [c.split()[0] for c in RESPONSE.split(", ")]
+    names = [c.split()[0] for c in READ.split(", ")]
+    types = [pa.binary() if c.endswith(" binary") else pa.string() for c in READ.split(", ")]
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -145,14 +195,14 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
                 for fields, block in read_records(data.as_py()):
                     if fields.get("warc-type") == "response":
                         head, mark, body = block.partition(b"\r\n\r\n")
-                        rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), (head + mark).decode("utf-8", "replace"), body.decode("utf-8", "replace")))
+                        rows.append((fields.get("warc-record-id"), fields.get("warc-target-uri"), fields.get("warc-date"), (head + mark).decode("utf-8", "replace"), body, fields.get("warc-block-digest") or digest(block), fields.get("warc-payload-digest") or digest(body)))
                     if len(rows) >= BATCH_ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+                        yield batch(rows)
                         rows = []
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows, strict=True)], names)
+                    yield batch(rows)
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, RESPONSE)
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
 
 def serialised(derived: DataFrame, compress: bool = True) -> DataFrame:

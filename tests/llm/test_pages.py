@@ -143,3 +143,18 @@ def test_warc_files(spark, tmp_path):
     packed = warc.serialised(warc.derivatives(responses)).collect()
     assert all(gzip.decompress(r["warc"]).startswith(b"WARC/1.1\r\nWARC-Type: ") for r in packed)
     assert hashlib.sha1(b"").hexdigest() and string.ascii_lowercase
+
+
+def test_warc_files_keep_bytes_and_source_digests(spark, tmp_path):
+    html = "<p>caf\u00e9</p>"
+    bodies = [(b"text/html; charset=iso-8859-1", b"", html.encode("latin-1"), b"sha1:GIVEN"), (b"text/html; charset=utf-8", b"Content-Encoding: gzip\r\nTransfer-Encoding: chunked\r\n", gzip.compress(html.encode()), b""), (b"image/png", b"", b"\x89PNG\xff\xfe", b"")]
+    data, want = b"", {}
+    for i, (kind, more, body, given) in enumerate(bodies):
+        if more:
+            body = b"%x\r\n" % len(body) + body + b"\r\n0\r\n\r\n"
+        block = b"HTTP/1.1 200 OK\r\nContent-Type: " + kind + b"\r\n" + more + b"\r\n" + body
+        data += b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:%d>\r\n" % i + (b"WARC-Payload-Digest: " + given + b"\r\n") * bool(given) + b"Content-Length: %d\r\n\r\n" % len(block) + block + b"\r\n\r\n"
+        want[f"<urn:uuid:{i}>"] = (warc.digest(block), given.decode() or warc.digest(body), "caf\u00e9\n" if i < 2 else "")
+    (tmp_path / "a.warc").write_bytes(data)
+    rows = warc.derivatives(warc.read_responses(spark, str(tmp_path))).filter("record_type = 'conversion'").collect()
+    assert {r["refers_to"]: (r["source_block_digest"], r["source_payload_digest"], r["block"]) for r in rows} == want
