@@ -2,8 +2,8 @@
 
 Null texts count as empty.  Empty and blank texts give no ids and an empty
 decoded text.  Special token strings inside a text become their own ids.
-Repeated rows give repeated results; other columns pass untouched by name only
-where the caller selects them.
+Repeated rows give repeated results, an empty table none; a null or repeated id
+is carried as it is, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -14,13 +14,12 @@ import sys
 import unicodedata
 from array import array
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.llm import pair_index
+from latticework.llm import code_points, pair_index
 from latticework.llm.runtime import table, text_or_empty
 
 #: Fixed value: the pre-token pattern of the vocabulary file.
@@ -48,20 +47,6 @@ def normalise(text: str) -> str:
     return BLANKS.sub(" ", text).lower()
 
 
-@lru_cache(maxsize=1)
-def unassigned() -> regex.Pattern:
-    """Code points without a meaning in Python's Unicode tables; other libraries may know them."""
-    spans, start = [], None
-    for c in range(sys.maxunicode + 2):
-        free = c <= sys.maxunicode and unicodedata.category(chr(c)) == "Cn"
-        if free and start is None:
-            start = c
-        elif not free and start is not None:
-            spans.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-            start = None
-    return regex.compile("[" + "".join(spans) + "]")
-
-
 class WordCoder:
     """Encodes and decodes texts; new words of a batch go through the pair index together."""
 
@@ -71,18 +56,11 @@ class WordCoder:
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.path = path
-        self.back = {c: b for b, c in enumerate(pair_index.byte_alphabet())}
-        self.library = None
-
-    def library_split(self, text: str) -> list[str]:
-        """Pre-tokens of a text with code points newer than Python's Unicode tables, by the library's own normaliser and splitter."""
-        if self.library is None:
-            from tokenizers import Tokenizer
+        self.library = code_points.Library(path)
 
-            self.library = Tokenizer.from_file(self.path)
-        got = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
-        return [bytes(self.back[c] for c in w).decode() for w, _ in got]
+    def odd_split(self, text: str) -> list[str]:
+        """Pre-tokens of a text with odd code points, in the forms that the library's normaliser gives them."""
+        return self.library.split(WORDS, self.library.normalised(text))
 
     def words(self, text: str, split=lambda text: WORDS.findall(normalise(text))) -> list[str]:
         """Pre-tokens; a special token is marked by two leading NULs and its own name."""
@@ -139,17 +117,14 @@ class WordCoder:
         """(packed ids, decoded text) of each text."""
         at = 0
         while at < len(texts):
-            first, lists, chars = at, [], 0
-            while at < len(texts) and (not lists or chars < BATCH_CHARS):
+            first, chars = at, 0
+            while at < len(texts) and (at == first or chars < BATCH_CHARS):
                 chars += len(texts[at])
-                lists.append(self.words(texts[at]))
                 at += 1
-            new = self.unknown(set().union(*lists))
-            odd = {w for w in new if not w.isascii() and unassigned().search(w)}
-            if odd:
-                lists = [ws if odd.isdisjoint(ws) else self.words(texts[first + i], self.library_split) for i, ws in enumerate(lists)]
-                new = self.unknown(set().union(*lists))
-            self.learn(new)
+            group = texts[first:at]
+            odd = code_points.odd(group)
+            lists = [self.words(t, self.odd_split) if i in odd else self.words(t) for i, t in enumerate(group)]
+            self.learn(self.unknown(set().union(*lists)))
             kept = self.kept
             for ws in lists:
                 ids = b"".join([kept[w] for w in ws])

@@ -4,6 +4,8 @@ Offline, every vocabulary string is merged on its own; those that end as one
 token are proven whole.  A pre-token among them counts as one without any
 merging; only the rest goes through the merge table.  Null texts count as
 empty (0 bytes, 0 tokens).  Special token strings count as one token each.
+Repeated rows give repeated results, an empty table none; a null or repeated id
+is carried as it is, and other columns play no part.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import pair_index
+from latticework.llm import code_points, pair_index
 from latticework.llm.runtime import table, text_or_empty
 
 #: Fixed value: the pre-token pattern of byte-level BPE.
@@ -36,6 +38,7 @@ class TokenCounter:
     def __init__(self, path: str):
         self.index, self.special = pair_index.load(path)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+        self.library = code_points.Library(path)
         self.whole = self.prove()
         self.extra: dict[str, int] = {}
         self.older: dict[str, int] = {}
@@ -53,19 +56,24 @@ class TokenCounter:
                     pass  # part of a character: never a pre-token
         return frozenset(found)
 
-    def pre_tokens(self, text: str) -> tuple[list[str], int]:
+    def odd_split(self, text: str) -> list[str]:
+        """Pre-tokens of a text with odd code points."""
+        return self.library.split(PRE_TOKENS, text)
+
+    def pre_tokens(self, text: str, split=PRE_TOKENS.findall) -> tuple[list[str], int]:
         if self.marks is None or "<" not in text:
-            return PRE_TOKENS.findall(text), 0
+            return split(text), 0
         parts = self.marks.split(text)
         out: list[str] = []
         for part in parts:
-            out.extend(PRE_TOKENS.findall(part))
+            out.extend(split(part))
         return out, len(parts) - 1
 
     def count(self, texts: list[str]) -> list[int]:
         whole, out, rest = self.whole, [], []
-        for text in texts:
-            words, marks = self.pre_tokens(text)
+        odd = code_points.odd(texts)
+        for i, text in enumerate(texts):
+            words, marks = self.pre_tokens(text, self.odd_split) if i in odd else self.pre_tokens(text)
             out.append(len(words) + marks)
             rest.append([w for w in words if w not in whole])
         need = set().union(*rest) if rest else set()

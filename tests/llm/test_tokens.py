@@ -1,7 +1,11 @@
 import hashlib
+import random
+import sys
+import unicodedata
 from array import array
 
 import public_tokenizers
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -72,3 +76,29 @@ def test_queries_over_nulls_repeats_and_clashing_columns(spark):
     assert full["decoded"] == "hello</w> there</w>" and len(full["token_ids"]) == 2
     assert bpe.code_column(df.limit(0), bpe.vocabulary_path()).count() == 0
     assert public_tokenizers.path("word_bpe_49k.json") == bpe.vocabulary_path()
+
+
+def test_every_code_point_in_any_order_with_words_kept():
+    """All that some table knows, and every 40th of the others, each beside neighbours that its kind decides on."""
+    known = regex.compile(r"[\p{L}\p{N}]")
+    cps = [chr(c) for c in range(sys.maxunicode + 1) if not 0xD800 <= c < 0xE000]
+    cps = [c for i, c in enumerate(cps) if unicodedata.category(c) not in ("Cn", "Co") or known.match(c) or i % 40 == 0]
+    random.Random(5).shuffle(cps)
+    for form in ("{0}'re", "x{0}y", "\0{0}́E9{0} !{0}"):
+        texts = [form.format(c) for c in cps]
+        for at in range(0, len(texts), 4096):
+            part = texts[at : at + 4096]
+            want = [e.ids for e in WORD.encode_batch(part, add_special_tokens=False)]
+            assert [list(array("I", ids)) for ids, _ in CODER.code(part)] == want
+            assert COUNTER.count(part) == [len(e.ids) for e in BYTE.encode_batch(part, add_special_tokens=False)]
+
+
+def test_a_kept_word_does_not_decide_for_another_text():
+    check(["\U0001df4c", "\x00"])
+    check(["\x00\U0001df4c", "՘'re", "re՘"])
+
+
+def test_empty_tables(spark):
+    df = spark.createDataFrame([], "doc_id long, text string")
+    assert bpe.code_column(df, bpe.vocabulary_path()).count() == 0
+    assert token_counts.count_tokens(df, token_counts.vocabulary_path()).count() == 0
