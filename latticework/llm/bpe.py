@@ -24,7 +24,6 @@ from latticework.llm.runtime import table, text_or_empty
 
 #: Fixed value: the pre-token pattern of the vocabulary file.
 WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-BLANKS = regex.compile(r"\s+")
 #: Distinct words whose ids a worker keeps; at this many the older ones make room, results are the same.
 KEPT_WORDS = 220_000
 #: Texts taken from an Arrow batch at a time.
@@ -40,11 +39,11 @@ def vocabulary_path() -> str:
 
 
 def normalise(text: str) -> str:
-    """Canonical composition, blanks to one space, lower case letter by letter."""
+    """Canonical composition, lower case letter by letter; white space stays, as no pre-token holds any."""
     if not text.isascii():
         text = unicodedata.normalize("NFC", text)
         text = text.replace("Σ", "σ")  # no special case for a final sigma
-    return BLANKS.sub(" ", text).lower()
+    return text.lower()
 
 
 class WordCoder:
