@@ -3,7 +3,9 @@
 Documents stand in descending doc_id (nulls last, equal ids by the hash of the
 text); the next one after the last is the first.  Null texts count as empty.
 Equal texts have equal fingerprints; the fingerprint of an empty text is empty.
-A table of one row is its own neighbour; an empty table gives no rows.
+A table of one row is its own neighbour; an empty table gives no rows; other
+columns play no part.  Rows without an id, or with a frequent one, are dealt
+over tasks by the hash of their texts.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from latticework.llm.runtime import table, text_or_empty
 BATCH_CHARS = 400_000
 #: Buckets of neighbouring ids for each shuffle partition, so that partitions come out even.
 BUCKETS = 4
+#: Rows of one partition, about, where there are more than the session's partitions would hold.
+PARTITION_ROWS = 250_000
 
 
 def constant_array(values: list[int]) -> Column:
@@ -63,36 +67,60 @@ def neighboured(docs: DataFrame) -> DataFrame:
     """bucket, tail, doc_id, text (compressed), guest: sorted by descending id inside buckets of neighbouring ids.
 
     Each bucket ends with a guest, the first document of the next bucket, so
-    every text is shuffled once and no task sees more than its buckets.  Only
-    the limits of the buckets reach the driver, as many as there are partitions
-    times ``BUCKETS``.
+    every text is shuffled once and no task sees more than its buckets.  A
+    bucket of one id (or of none) that is larger than others is cut again by
+    the hashes of its texts.  Only the limits of the buckets reach the driver,
+    as many as there are partitions times ``BUCKETS``.
     """
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions")) * BUCKETS
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    total = ids.count()
+    own = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = max(own, -(-total // PARTITION_ROWS))
+    n = max(own * BUCKETS, partitions)
     cuts = ids.filter("doc_id is not null").select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-    limits = sorted({int(c) for c in cuts}, reverse=True)
-    bucket = F.when(F.col("doc_id").isNull(), len(limits) + 1).otherwise(position(limits, F.col("doc_id"))).cast("int")
-    heads = ids.withColumn("bucket", bucket).groupBy("bucket").agg(F.max("doc_id").alias("head")).collect()
-    head = {r["bucket"]: r["head"] for r in heads}
-    filled = sorted(head)
-    before = {b: a for a, b in zip(filled, filled[1:], strict=False)}
-    rows = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))).withColumn("bucket", bucket)
-    at = F.col("bucket") + 1
-    known = range(len(limits) + 2)
-    heads_of = constant_array([head[b] if head.get(b) is not None else -1 for b in known])
-    is_head = F.element_at(constant_array([int(b in head) for b in known]), at) == 1
-    is_head &= (F.element_at(heads_of, at) == F.col("doc_id")) | F.col("doc_id").isNull()
+    often = [int(a) for a, b in zip(cuts, cuts[1:], strict=False) if a == b]  # an id of so many rows gets a bucket of its own
+    limits = sorted({int(c) for c in cuts} | {c - 1 for c in often}, reverse=True)
+    band = F.when(F.col("doc_id").isNull(), len(limits) + 1).otherwise(position(limits, F.col("doc_id"))).cast("int")
+    known = len(limits) + 2
+    facts = {r["band"]: r for r in ids.withColumn("band", band).groupBy("band").agg(F.max("doc_id").alias("head"), F.min("doc_id").alias("foot"), F.count(F.lit(1)).alias("n")).collect()}
+    parts = [max(1, -(-facts[b]["n"] * n // (2 * total))) if b in facts and facts[b]["head"] == facts[b]["foot"] else 1 for b in range(known)]
+    first = [sum(parts[:b]) for b in range(known)]
+
+    rows = packed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")))
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Bands, and buckets in the order of the hashes inside a band that is cut."""
+        share = (F.col("tie").cast("double") + F.lit(2.0**63)) / F.lit(2.0**64)
+        at, width = F.element_at(constant_array(first), F.col("band") + 1), F.element_at(constant_array(parts), F.col("band") + 1)
+        return rows.withColumn("band", band).withColumn("bucket", (at + F.least(F.floor(share * width), width - 1)).cast("int"))
+
+    split = [b for b in range(known) if parts[b] > 1]
+    tie = {b: None for b in range(sum(parts))}
+    filled = {first[b] for b in facts if parts[b] == 1}
+    if split:
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text_or_empty()).alias("tie"))
+        for r in dealt(texts).filter(F.col("band").isin(*split)).groupBy("bucket").agg(F.min("tie").alias("tie")).collect():
+            tie[r["bucket"]] = r["tie"]
+            filled.add(r["bucket"])
+    order = sorted(filled)
+    before = {b: a for a, b in zip(order, order[1:], strict=False)}
+    rows = dealt(rows)
+    places = range(sum(parts))
+    heads = [facts[b]["head"] if b in facts and facts[b]["head"] is not None else -1 for b in range(known)]
+    of_bucket = lambda values: F.element_at(constant_array(values), F.col("bucket") + 1)
+    is_head = (F.element_at(constant_array(heads), F.col("band") + 1) == F.col("doc_id")) | F.col("doc_id").isNull()
+    is_head &= (of_bucket([int(tie[b] is not None) for b in places]) == 0) | (of_bucket([tie[b] or 0 for b in places]) == F.col("tie"))
     home = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("tail"), F.lit(False).alias("guest"))
-    guest = F.struct(F.element_at(constant_array([before.get(b, -1) for b in known]), at).cast("int").alias("bucket"), F.lit(1).alias("tail"), F.lit(True).alias("guest"))
-    wrap = F.struct(F.lit(filled[-1] if filled else -1).alias("bucket"), F.lit(1).alias("tail"), F.lit(True).alias("guest"))
+    guest = F.struct(of_bucket([before.get(b, -1) for b in places]).cast("int").alias("bucket"), F.lit(1).alias("tail"), F.lit(True).alias("guest"))
+    wrap = F.struct(F.lit(order[-1] if order else -1).alias("bucket"), F.lit(1).alias("tail"), F.lit(True).alias("guest"))
     seats = F.concat(
         F.array(home),
         F.when(is_head & (guest["bucket"] >= 0), F.array(guest)).otherwise(F.array().cast("array<struct<bucket:int,tail:int,guest:boolean>>")),
-        F.when(is_head & (F.col("bucket") == F.lit(filled[0] if filled else -1)), F.array(wrap)).otherwise(F.array().cast("array<struct<bucket:int,tail:int,guest:boolean>>")),
+        F.when(is_head & (F.col("bucket") == F.lit(order[0] if order else -1)), F.array(wrap)).otherwise(F.array().cast("array<struct<bucket:int,tail:int,guest:boolean>>")),
     )
     seated = rows.select("doc_id", "text", "tie", F.explode(seats).alias("seat")).select("seat.*", "doc_id", "text", "tie")
-    return seated.repartition(max(1, n // BUCKETS), "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "tie")
+    return seated.repartition(partitions, "bucket").sortWithinPartitions("bucket", "tail", F.desc_nulls_last("doc_id"), "tie")
 
 
 def fingerprinted(docs: DataFrame, keep_edited: bool = False) -> DataFrame:

@@ -17,12 +17,10 @@ import numpy as np
 from latticework.llm.bags import mixed
 
 U = np.uint64
-#: Phrases of this level and above go into a fingerprint; lower ones are too short to tell texts apart.
-FROM_LEVEL = 2
-#: Texts of fewer characters have too few of those and take level 1 as well.
-SHORT = 64
-#: Smallest name hashes that a fingerprint keeps.
-SKETCH = 96
+#: Smallest name hashes that a fingerprint keeps: of the first level, whose phrases are short and common, and of all above.
+FIRST, HIGHER = 16, 96
+
+Sketch = tuple[np.ndarray, np.ndarray]
 
 
 def tossed(x: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -63,45 +61,54 @@ def level(x: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names, text[at]
 
 
-def sketches(texts: list[str], k: int = SKETCH) -> list[np.ndarray]:
-    """For each text, the ``k`` smallest hashes of its phrase names, sorted; a text that is one phrase keeps its one name."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(U) + U(1)
-    text = np.repeat(np.arange(len(texts)), sizes)
-    names, owners, depth = [], [], 0
-    while len(x):
-        x, text = level(x, text)
-        depth += 1
-        single = np.bincount(text, minlength=len(texts)) == 1
-        done = single[text]
-        chosen = done | (sizes[text] < SHORT) if depth < FROM_LEVEL else np.ones(len(x), bool)
-        names.append(mixed(x[chosen] + U(depth)) >> U(32))
-        owners.append(text[chosen])
-        x, text = x[~done], text[~done]
+def least(owners: list[np.ndarray], names: list[np.ndarray], n: int, k: int) -> list[np.ndarray]:
+    """For each of ``n`` texts its ``k`` smallest names, sorted."""
     if not names:
-        return [np.zeros(0, np.uint32) for _ in texts]
+        return [np.zeros(0, np.uint32) for _ in range(n)]
     key = np.unique((np.concatenate(owners).astype(U) << U(32)) | np.concatenate(names))
     owner = (key >> U(32)).astype(np.int64)
-    start = np.searchsorted(owner, np.arange(len(texts) + 1))
+    start = np.searchsorted(owner, np.arange(n + 1))
     small = (key & U(0xFFFFFFFF)).astype(np.uint32)
     return [small[a : min(b, a + k)] for a, b in zip(start[:-1], start[1:], strict=True)]
 
 
-def written(sketch: np.ndarray) -> str:
-    return base64.b64encode(sketch.astype("<u4").tobytes()).decode()
-
+def sketches(texts: list[str]) -> list[Sketch]:
+    """For each text the smallest hashes of its phrase names, those of the first level and those of all above, whatever its length.
 
-def read(fingerprint: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(fingerprint), "<u4")
-
-
-def likeness(a: np.ndarray, b: np.ndarray, k: int = SKETCH) -> float:
-    """Share of common phrase names, from the ``k`` smallest of both; two empty texts are alike."""
-    x, y = set(a.tolist()), set(b.tolist())
-    if not x or not y:
-        return float(x == y)
-    if x == y:
-        return 1.0
-    both = x & y
-    least = sorted(x | y)[:k]
-    return sum(v in both for v in least) / len(least)
+    A text goes up until it is one phrase; an empty one has no names.
+    """
+    sizes = np.array([len(t) for t in texts], np.int64)
+    x = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(U) + U(1)
+    text = np.repeat(np.arange(len(texts)), sizes)
+    names, owners, depth = [], [], 0
+    while len(x):
+        x, text = level(x, text)
+        depth += 1
+        names.append(mixed(x + U(depth)) >> U(32))
+        owners.append(text)
+        more = (np.bincount(text, minlength=len(texts)) > 1)[text]
+        x, text = x[more], text[more]
+    return list(zip(least(owners[:1], names[:1], len(texts), FIRST), least(owners[1:], names[1:], len(texts), HIGHER), strict=True))
+
+
+def written(sketch: Sketch) -> str:
+    """Base64 of the number of first-level names and all names; empty for an empty text."""
+    first, higher = sketch
+    if not len(first):
+        return ""
+    return base64.b64encode(np.concatenate(([len(first)], first, higher)).astype("<u4").tobytes()).decode()
+
+
+def read(fingerprint: str) -> Sketch:
+    found = np.frombuffer(base64.b64decode(fingerprint), "<u4")
+    return (found[1 : 1 + found[0]], found[1 + found[0] :]) if len(found) else (found, found)
+
+
+def likeness(a: Sketch, b: Sketch) -> float:
+    """Share of common names among the smallest of both, the first level and those above counted together; two empty texts are alike."""
+    hits = seen = 0
+    for x, y, k in zip(map(set, (c.tolist() for c in a)), map(set, (c.tolist() for c in b)), (FIRST, HIGHER), strict=True):
+        common, smallest = x & y, sorted(x | y)[:k]
+        hits += sum(v in common for v in smallest)
+        seen += len(smallest)
+    return hits / seen if seen else 1.0
