@@ -6,8 +6,11 @@ shared by all grades; ordered thresholds turn the score s into
 P(grade >= k) = 1 / (1 + exp(threshold[k] - s)).
 
 Fitted on at most ``SAMPLE`` labelled documents, chosen by the hash of their
-ids; every document is scored on its whole text.  Null texts count as empty;
-a text without words has score 0 of its own.  Labels without quality are
+ids (of rows that share an id, the text with the least hash); every document is
+scored on its whole text.  Null texts count as empty; a text without words has
+score 0 of its own.  Repeated rows and null ids are scored like any; an empty
+table gives no rows; other columns play no part.  Of equal scores none is
+preferred: a document is kept by its own probability alone.  Labels without quality are
 ignored, a null toxic counts as 0; with fewer than two grades labelled, every
 document gets the one known grade (the best where none is known) and is kept.
 """
@@ -47,7 +50,7 @@ def shape(word: str) -> str:
     """A word's outline: case of its letter runs, digits as 9, marks (runs of one mark as two)."""
     for pattern, by in SHAPES:
         word = pattern.sub(by, word)
-    return word[:24]
+    return word
 
 
 def features(word: str) -> tuple[int, int]:
@@ -131,7 +134,9 @@ def graded(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalModel:
     """Fit on a bounded sample; only the sampled rows are broadcast and only their hashed counts reach the driver."""
     chosen = graded(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(chosen), "doc_id")
+    text = text_or_empty()
+    rows = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), text.alias("text")).alias("one")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id").agg(F.min("one").alias("one"), F.first("grade").alias("grade")).select(F.col("one.text").alias("text"), "doc_id", "grade")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -139,8 +144,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> OrdinalMo
             cols = [b.column(1), b.column(2), pa.array([i for i, _ in got], pa.list_(pa.int32())), pa.array([v for _, v in got], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "grade", "i", "v"])
 
-    found = rows.select("text", "doc_id", "grade").mapInArrow(run, "doc_id long, grade int, i array<int>, v array<float>").limit(2 * sample).collect()
-    found = sorted(found, key=lambda r: (r["doc_id"], r["i"]))
+    found = rows.mapInArrow(run, "doc_id long, grade int, i array<int>, v array<float>").collect()  # ``sample`` rows at most
+    found = sorted(found, key=lambda r: r["doc_id"])
     return fit(np.array([r["grade"] for r in found], int), [np.array(r["i"], np.int64) for r in found], [np.array(r["v"], float) for r in found])
 
 
