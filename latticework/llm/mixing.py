@@ -4,8 +4,9 @@ Everything runs as DataFrame expressions.  Sources in code point order (null
 last) get the weights in turn; targets are shares of the total, each at most
 ``epochs`` times its source's size, what is cut off going to the others by
 weight.  The mix is cut into blocks of equally many words; blocks go to sources
-by highest quotients target / (2 s + 1), and each source's blocks to its shards
-(seeded hash buckets of its documents) in the same way.  Inside a shard the
+by highest quotients target / (2 s + 1), each source's blocks to its groups of
+shards (seeded hash buckets of its documents) in the same way, and each group's
+to its shards, so that no task ranks all shards of a large source.  Inside a shard the
 documents stand in seeded order and are cut into blocks; a quota of q over n
 blocks takes each block q div n times and q mod n seeded ones once more.
 
@@ -29,6 +30,8 @@ SHARE = 1.5
 EPOCHS = 2
 #: Words of one shard, about.
 SHARD_WORDS = 1 << 18
+#: Shards whose quotas are ranked together.
+GROUP_SHARDS = 1024
 SEED = 20240717
 
 
@@ -101,7 +104,7 @@ def sainte_lague(parties: DataFrame, groups: list[str], party: str, votes: str,
     return bounded.join(won, [*groups, party], "left").withColumn(out, F.col("__low") + F.coalesce("__won", F.lit(0))).select(*parties.columns, out)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EPOCHS, shard_words: int = SHARD_WORDS, seed: int = SEED, group_shards: int = GROUP_SHARDS) -> DataFrame:
     """doc_id, size, source_size, target, taken; also source, shard and block_words."""
     size = word_count(text_or_empty())
     # the narrow table is cut off so that each text is read once
@@ -118,7 +121,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, epochs: int = EP
     placed = placed.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed + 1), "__order"), F.greatest(F.col("shards"), F.lit(1))))
     shards = placed.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("blocks").alias("blocks"), F.first("block_words").alias("block_words"))
     shards = shards.withColumn("n_blocks", F.ceil(F.col("shard_size") / F.col("block_words")).cast("long")).withColumn("__cap", F.col("n_blocks") * epochs)
-    quotas = sainte_lague(shards, ["source_no"], "shard", "shard_size", "blocks", "__cap", "quota").select("source_no", "shard", "n_blocks", "quota")
+    shards = shards.withColumn("group", F.floor(F.col("shard") / group_shards))
+    groups = shards.groupBy("source_no", "group").agg(F.sum("shard_size").alias("group_size"), F.sum("__cap").alias("__cap"), F.first("blocks").alias("blocks"))
+    of_groups = sainte_lague(groups, ["source_no"], "group", "group_size", "blocks", "__cap", "group_blocks").select("source_no", "group", "group_blocks")
+    quotas = sainte_lague(shards.join(of_groups, ["source_no", "group"]), ["source_no", "group"], "shard", "shard_size", "group_blocks", "__cap", "quota").select("source_no", "shard", "n_blocks", "quota")
 
     stream = Window.partitionBy("source_no", "shard").orderBy("__order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     laid = placed.withColumn("__from", F.coalesce(F.sum("size").over(stream), F.lit(0))).withColumn("__to", F.col("__from") + F.col("size"))

@@ -1,6 +1,7 @@
 import heapq
 import random
 import re
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -106,6 +107,23 @@ def test_stage_keeps_the_plan_for_repeated_rows(spark):
     assert all(abs(counts.get(r["source"], 0) - r["n"]) <= 0.1 * r["n"] + 2 for r in plan), (plan, counts)
 
 
+def test_groups_of_shards(spark):
+    rows = [(i, "w " * (i % 90), f"s{i % 2}", "x", "y") for i in range(1500)]
+    df = table(spark, rows)
+    got = mixing.mix(df, shard_words=300, group_shards=8).collect()
+    taken, target, shards = Counter(), {}, {}
+    for r in got:
+        assert 0 <= r["taken"] <= 2 * r["size"]
+        taken[r["source"]] += r["taken"]
+        target[r["source"]] = r["target"]
+        shards.setdefault(r["source"], set()).add(r["shard"])
+    assert min(map(len, shards.values())) > 50
+    for s in target:
+        assert abs(taken[s] - target[s]) <= got[0]["block_words"] * (2 + 2 * len(shards[s]))
+        assert abs(taken[s] - target[s]) <= 0.03 * target[s]
+
+
 def test_empty(spark):
+    assert mixing.stage(spark, table(spark, []), "").count() == 0
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.mix(table(spark, [(1, None, None, "", "")])).collect()[0]["taken"] == 0
