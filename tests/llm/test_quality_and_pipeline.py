@@ -70,6 +70,30 @@ def test_gradient_steps_lower_the_loss():
     assert (guess == grades).mean() > 0.95 and r is not None
 
 
+def test_the_sample_is_bounded_by_ids_not_rows(spark):
+    docs = [(i % 3, f"text number {i} goes here", "en", "s", 1, "x") for i in range(60)]
+    lab = spark.createDataFrame([(0, 1, 0), (1, 0, 0), (2, 1, 1)], "doc_id long, quality int, toxic int")
+    one = ordinal_quality.train(spark.createDataFrame(docs, DOCS), lab, sample=2)
+    again = ordinal_quality.train(spark.createDataFrame(docs[::-1], DOCS).repartition(5), lab, sample=2)
+    assert (one.weights == again.weights).all() and one.thresholds == again.thresholds
+
+
+def test_stages_on_empty_tables(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    lab = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    lab.write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([], DOCS)
+    for name, stage in cp.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.count() == 0, name
+        assert name == "tokens" or out.columns == docs.columns
+
+
+def test_long_words_have_whole_shapes():
+    assert ordinal_quality.shape("a1" * 30) == "a9" * 30
+
+
 def test_shapes():
     assert ordinal_quality.shape("Hello,") == "Aa," and ordinal_quality.shape("WORD!!!") == "A!!" and ordinal_quality.shape("ab***") == "a**" and ordinal_quality.shape("x12y") == "a9a"
 
