@@ -2,7 +2,8 @@
 
 A value is struct<t, v>: its type name and canonical text.  A property map is
 map<string, struct<t, v>>.  A key that is present with type ``null`` differs
-from a missing key.  Nested lists and maps are JSON of tagged leaves.
+from a missing key.  Lists and maps are JSON of [tag, content] pairs at every
+depth, so that ``["int","1"]`` with plain quotes is an integer and nothing else.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ MAX_DEPTH = 32
 VALUE_TYPE, PROPS_TYPE = "struct<t:string,v:string>", "map<string,struct<t:string,v:string>>"
 
 
-def encode(value: Any, depth: int = 0) -> tuple[str, str | None]:
-    """Tag and text of a Python value; tuples and other types are refused."""
+def tree(value: Any, depth: int = 0) -> tuple[str, Any]:
+    """Tag and content of a Python value: a text, or the trees of what it holds; tuples and other types are refused."""
     if depth > MAX_DEPTH:
         raise ValueError("property values nest too deeply")
     if value is None:
@@ -43,16 +44,22 @@ def encode(value: Any, depth: int = 0) -> tuple[str, str | None]:
     if isinstance(value, str):
         return ("str", value)
     if isinstance(value, list):
-        return ("list", json.dumps([encode(x, depth + 1) for x in value], ensure_ascii=False, separators=(",", ":")))
+        return ("list", [tree(x, depth + 1) for x in value])
     if isinstance(value, Mapping):
         if not all(isinstance(k, str) for k in value):
             raise ValueError("keys of a map property must be strings")
-        return ("map", json.dumps({k: encode(value[k], depth + 1) for k in sorted(value)}, ensure_ascii=False, separators=(",", ":")))
+        return ("map", {k: tree(value[k], depth + 1) for k in sorted(value)})
     raise ValueError(f"unsupported property type {type(value).__name__}")
 
 
-def decode(t: str, v: str | None) -> Any:
-    """The Python value of a tag and its text."""
+def encode(value: Any) -> tuple[str, str | None]:
+    """Tag and text of a Python value."""
+    t, content = tree(value)
+    return (t, json.dumps(content, ensure_ascii=False, separators=(",", ":"))) if t in ("list", "map") else (t, content)
+
+
+def grown(t: str, v: Any) -> Any:
+    """The Python value of a tag and its content."""
     if t == "null" or v is None:
         return None
     if t == "bool":
@@ -62,12 +69,17 @@ def decode(t: str, v: str | None) -> Any:
     if t == "float":
         return float({"Infinity": "inf", "-Infinity": "-inf"}.get(v, v))
     if t == "list":
-        return [decode(*x) for x in json.loads(v)]
+        return [grown(*x) for x in v]
     if t == "map":
-        return {k: decode(*x) for k, x in json.loads(v).items()}
+        return {k: grown(*x) for k, x in v.items()}
     return v
 
 
+def decode(t: str, v: str | None) -> Any:
+    """The Python value of a tag and its text."""
+    return grown(t, json.loads(v) if t in ("list", "map") and v is not None else v)
+
+
 def encode_props(props: Mapping[str, Any]) -> dict[str, tuple[str, str | None]]:
     return {k: encode(v) for k, v in props.items()}
 
@@ -130,21 +142,40 @@ def strict_key(value: Column) -> Column:
     """E1: equal keys for equal typed values; null (never equal) for NaN.  A missing value has a null key, too."""
     t, v = value["t"], value["v"]
     number = _double(v)
-    text = F.when(t == "float", F.when(~F.isnan(number), number.cast("string"))).when(t.isin("list", "map") & v.contains('["float","nan"]'), None).otherwise(F.coalesce(v, F.lit("")))
+    nested = F.when(~v.contains('["float","nan"]'), F.replace(v, F.lit('["float","-0.0"]'), F.lit('["float","0.0"]')))
+    text = F.when(t == "float", F.when(~F.isnan(number), number.cast("string"))).when(t.isin("list", "map"), nested).otherwise(F.coalesce(v, F.lit("")))
     return F.concat(t, F.lit(":"), text)
 
 
-def loose_key(value: Column) -> Column:
-    """E2: numbers and booleans compare by value, null equals missing; null key (never equal) for NaN."""
-    t, v = value["t"], value["v"]
+def _loose_float(v: Column) -> Column:
+    """Key of a float's text, that of the integer where it is whole; null for NaN."""
     number = _double(v)
     whole = (number == F.floor(number)) & (F.abs(number) < 9.2e18)
-    as_float = F.when(F.isnan(number), None).when(whole, F.concat(F.lit("n:"), number.cast("bigint").cast("string"))).otherwise(F.concat(F.lit("f:"), number.cast("string")))
+    return F.when(F.isnan(number), None).when(whole, F.concat(F.lit("n:"), number.cast("bigint").cast("string"))).otherwise(F.concat(F.lit("f:"), number.cast("string")))
+
+
+#: A float, an integer and the booleans as they stand in the text of a list or map.
+FLOAT_LEAF, INT_LEAF, TRUE_LEAF, FALSE_LEAF = r'\["float","([^"]*)"\]', r'\["int","([^"]*)"\]', r'\["bool","true"\]', r'\["bool","false"\]'
+
+
+def _loose_nested(v: Column) -> Column:
+    """Text of a list or map with every number and boolean in it as its loose key; null if a NaN is among them."""
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace(v, INT_LEAF, '["n:$1"]'), TRUE_LEAF, '["n:1"]'), FALSE_LEAF, '["n:0"]')
+    between = F.split(text, FLOAT_LEAF)
+    floats = F.transform(F.regexp_extract_all(text, F.lit(FLOAT_LEAF), F.lit(1)), _loose_float)
+    put = F.zip_with(between, floats, lambda a, f: F.when(f.isNull(), a).otherwise(F.concat(a, F.lit('["'), f, F.lit('"]'))))
+    return F.when(F.forall(floats, lambda f: f.isNotNull()), F.array_join(put, ""))
+
+
+def loose_key(value: Column) -> Column:
+    """E2: numbers and booleans compare by value, in lists and maps too; null equals missing; null key (never equal) for NaN."""
+    t, v = value["t"], value["v"]
     return (
         F.when(t.isNull() | (t == "null"), F.lit("null"))
         .when(t == "bool", F.concat(F.lit("n:"), F.when(v == "true", "1").otherwise("0")))
         .when(t == "int", F.concat(F.lit("n:"), v))
-        .when(t == "float", as_float)
+        .when(t == "float", _loose_float(v))
+        .when(t.isin("list", "map"), F.concat(t, F.lit(":"), _loose_nested(v)))
         .otherwise(F.concat(t, F.lit(":"), v))
     )
 

@@ -59,3 +59,26 @@ def test_overlay(spark):
     last, first = df.select(V.overlay(F.col("x"), F.col("y")), V.overlay(F.col("x"), F.col("y"), last_wins=False)).first()
     assert V.decode_props(last) == {"a": 1, "b": 3, "c": None}
     assert V.decode_props(first) == {"a": 1, "b": 2, "c": None}
+
+
+def test_loose_equality_reaches_into_lists_and_maps(spark):
+    from latticework.functions import values as V
+
+    same = [([1], [1.0]), ([True], [1]), ({"x": 1}, {"x": 1.0}), ([[1, {"a": False}]], [[1.0, {"a": 0}]]), ([10**16], [1e16]), ([0.0], [-0.0]), (["1"], ["1"]), ([None], [None]), ([1.5, "a"], [1.5, "a"])]
+    other = [([1], ["1"]), (['["int","1"]'], ['["float","1.0"]']), ([[1]], ['["int","1"]']), ([float("nan")], [float("nan")]), ([1, 2], [2, 1]), ([None], []), ([1.5], [1.25]), ({"x": 1}, {"y": 1})]
+    rows = [(i, a, b) for i, (a, b) in enumerate(same + other)]
+    df = spark.createDataFrame([(i, V.encode(a), V.encode(b)) for i, a, b in rows], "i int, a struct<t:string,v:string>, b struct<t:string,v:string>")
+    got = {r["i"]: r["same"] for r in df.selectExpr("*").select("i", (V.loose_key(df["a"]) == V.loose_key(df["b"])).alias("same")).collect()}
+    for i, a, b in rows:
+        want = i < len(same)
+        assert bool(got[i]) == want, (a, b)
+        assert V.decode(*V.encode(a)) == a or a != a or "nan" in repr(a)
+
+
+def test_strict_equality_of_nested_values(spark):
+    from latticework.functions import values as V
+
+    cases = [([1], [1.0], False), ([0.0], [-0.0], True), ([[float("nan")]], [[float("nan")]], False), ([1, "a"], [1, "a"], True)]
+    df = spark.createDataFrame([(i, V.encode(a), V.encode(b)) for i, (a, b, _) in enumerate(cases)], "i int, a struct<t:string,v:string>, b struct<t:string,v:string>")
+    got = {r["i"]: bool(r["same"]) for r in df.select("i", (V.strict_key(df["a"]) == V.strict_key(df["b"])).alias("same")).collect()}
+    assert got == {i: w for i, (_, _, w) in enumerate(cases)}
