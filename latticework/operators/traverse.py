@@ -1,15 +1,14 @@
-"""Breadth-first and depth-first traversal, shortest paths, and PageRank.
+"""Breadth-first and depth-first traversal, shortest paths, PageRank, and short cycles.
 
 A frontier advances by one join with the edges a round.  Candidates of a round
 are ordered by (rank of the parent, edge id descending) and the first for each
 target stays, which is the order in which a queue would discover them.  Rounds
 are cut off with a checkpoint; hop counts, not data sizes, set their number.
+A frontier of many rows is numbered by range, so that no task sorts all of it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,40 +16,66 @@ from pyspark.sql.window import Window
 
 from latticework.functions.checkpoints import cut
 from latticework.operators.graph import PropertyGraph
+from latticework.operators.subgraph import numbered
 
-FOUND = "start long, id long, depth int, rank long, parent long"
+#: Rows of a frontier that a window may number; a larger one is numbered by range.
+WINDOW_ROWS = 200_000
 
 
 def advance(edges: DataFrame, frontier: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
-    """Nodes first reached at ``depth`` from (start, id, rank) rows."""
+    """Nodes first reached at ``depth`` from (start, id, rank) rows; ``at`` and ``back`` give their order."""
     step = edges.select(F.col("src").alias("id"), F.col("dst").alias("to"), F.col("id").alias("edge")).join(frontier.select("start", "id", "rank"), "id")
     first = step.groupBy("start", "to").agg(F.min(F.struct("rank", (-F.col("edge")).alias("back"), F.col("id").alias("parent"))).alias("f"))
     new = first.join(seen.select("start", F.col("id").alias("to")), ["start", "to"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("start").orderBy("f.rank", "f.back"))
-    return new.select("start", F.col("to").alias("id"), F.lit(depth).cast("int").alias("depth"), rank.cast("long").alias("rank"), F.col("f.parent").alias("parent"))
+    return new.select("start", F.col("to").alias("id"), F.lit(depth).cast("int").alias("depth"), F.col("f.rank").alias("at"), F.col("f.back").alias("back"), F.col("f.parent").alias("parent"))
+
+
+def placed(new: DataFrame) -> tuple[DataFrame, int]:
+    """start, id, depth, rank, parent of a cut-off round, and its number of rows; ranks rise within each start."""
+    n = new.count()
+    if n > WINDOW_ROWS:
+        ranked_ = numbered(new, ["start", "at", "back"], column="rank")
+    else:
+        ranked_ = new.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("at", "back")).cast("long"))
+    return ranked_.select("start", "id", "depth", "rank", "parent"), n
 
 
 def bfs_from(edges: DataFrame, starts: DataFrame, max_depth: int, goal: int | None = None) -> DataFrame:
-    """start, id, depth, rank (within the depth), parent; the starts themselves have depth 0.
+    """start, id, depth, rank (rising within start and depth), parent; the starts themselves have depth 0.
 
-    ``starts`` has one column, start.  With ``goal``, rounds end once it is found.
+    ``starts`` has one column, start.  With ``goal``, rounds end once it is
+    found.  The edges are kept on the executors while rounds read them, with
+    their lineage, and let go at the end.
     """
     edges = edges.select("id", "src", "dst")
-    seen = cut(starts.select("start", F.col("start").alias("id"), F.lit(0).cast("int").alias("depth"), F.lit(1).cast("long").alias("rank"), F.lit(None).cast("long").alias("parent")))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        frontier = cut(advance(edges, frontier, seen, depth))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-        if goal is not None and not frontier.filter(F.col("id") == goal).isEmpty():
-            break
+    if max_depth > 1:
+        edges = edges.persist()
+    try:
+        seen = cut(starts.select("start", F.col("start").alias("id"), F.lit(0).cast("int").alias("depth"), F.lit(1).cast("long").alias("rank"), F.lit(None).cast("long").alias("parent")))
+        frontier = seen
+        for depth in range(1, max_depth + 1):
+            frontier, n = placed(cut(advance(edges, frontier, seen, depth)))
+            if not n:
+                break
+            seen = seen.union(frontier)
+            if goal is not None and not frontier.filter(F.col("id") == goal).isEmpty():
+                break
+    finally:
+        if max_depth > 1:
+            edges.unpersist()
     return seen
 
 
 def ranked(found: DataFrame) -> DataFrame:
-    """One running rank for each start in order of discovery."""
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("depth", "rank")) - 1)
+    """One running rank for each start in order of discovery, 0 for the start itself.
+
+    Ranks of one start and depth are consecutive already, so only their least
+    and their number are summed up.
+    """
+    sizes = found.groupBy("start", "depth").agg(F.min("rank").alias("__least"), F.count(F.lit(1)).alias("__n"))
+    ahead = F.coalesce(F.sum("__n").over(Window.partitionBy("start").orderBy("depth").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = sizes.select("start", "depth", (ahead - F.col("__least")).alias("__shift"))
+    return found.join(before, ["start", "depth"]).withColumn("rank", F.col("rank") + F.col("__shift")).select(*found.columns)
 
 
 def bfs(graph: PropertyGraph, start: int, max_depth: int) -> DataFrame:
@@ -168,8 +193,27 @@ def overlap_ranking(a: DataFrame, b: DataFrame) -> DataFrame:
     ids_a, ids_b = a.select("id", "pos"), b.select("id")
     both = ids_a.join(ids_b.distinct(), "id", "left_semi").groupBy("id").agg(F.min("pos").alias("order")).select(F.lit(0).alias("group"), "order", "id")
     rest = ids_a.select("id").union(ids_b).distinct().join(both.select("id"), "id", "left_anti").select(F.lit(1).alias("group"), F.col("id").alias("order"), "id")
-    return both.union(rest).withColumn("rank", F.row_number().over(Window.orderBy("group", "order"))).select("rank", "id")
+    return numbered(both.union(rest), ["group", "order"], column="rank").select("rank", "id")
+
 
+def simple_cycles(edges: DataFrame, max_length: int) -> DataFrame:
+    """cycle: the nodes of every simple cycle of at most ``max_length`` nodes, each once, from its least node on.
 
-def edges_of(pairs: Iterable[tuple[int, int]], graph: PropertyGraph) -> DataFrame:
-    return graph.spark.createDataFrame(list(pairs), "src long, dst long")
+    Parallel edges count once.  Paths grow by one join a round and never go
+    below the node they began with; there may be exponentially many cycles, so
+    the length is a bound that the caller has to name.
+    """
+    links = cut(edges.select("src", "dst").distinct())
+    paths = links.filter("src = dst").select(F.array("src").alias("cycle"))
+    found = [paths]
+    open_ = links.filter("src < dst").select(F.array("src", "dst").alias("path"), F.col("dst").alias("end"))
+    for length in range(2, max_length + 1):
+        grown = open_.join(links.select(F.col("src").alias("end"), F.col("dst").alias("next")), "end")
+        found.append(grown.filter(F.col("next") == F.col("path")[0]).select(F.col("path").alias("cycle")))
+        if length < max_length:
+            longer = grown.filter((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next")))
+            open_ = cut(longer.select(F.concat("path", F.array("next")).alias("path"), F.col("next").alias("end")))
+    out = found[0]
+    for more in found[1:]:
+        out = out.union(more)
+    return out

@@ -64,14 +64,80 @@ def _edges(df: DataFrame, kind: int, key: Column, src: Column, dst: Column, labe
     return df.select((F.lit(kind * EDGE_STEP).cast("long") + key.cast("long")).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), made.alias("props"))
 
 
-def line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def line_numbers(spark: SparkSession, sf_dir: str, only: Column | None = None) -> DataFrame:
+    """Line items numbered within their orders; ``only`` may filter by l_orderkey, which the numbers hang on."""
     items = read(spark, sf_dir, "lineitem")
+    items = items if only is None else items.filter(only)
     order = Window.partitionBy("l_orderkey").orderBy(*[x for x in items.columns if x != "l_orderkey"])
     return items.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity", (F.col("l_orderkey") * 10_000 + F.row_number().over(order)).alias("line"))
 
 
+def _line_edges(lines: DataFrame) -> DataFrame:
+    """CONTAINS and SUPPLIED_BY edges of numbered line items."""
+    c, n = F.col, node_id
+    empty = F.create_map().cast(V.PROPS_TYPE)
+    edge = lambda kind, src, dst, label, props: F.struct((F.lit(kind * EDGE_STEP).cast("long") + c("line")).alias("id"), src.alias("src"), dst.alias("dst"), F.lit(label).alias("label"), props.alias("props"))
+    both = F.array(
+        edge(5, n("Order", "l_orderkey"), n("Part", "l_partkey"), "CONTAINS", V.typed_props({"quantity": ("float", c("l_quantity"))}).cast(V.PROPS_TYPE)),
+        edge(6, n("Part", "l_partkey"), n("Supplier", "l_suppkey"), "SUPPLIED_BY", empty),
+    )
+    return lines.select(F.explode(both).alias("e")).select("e.*")
+
+
+def commerce_edge(spark: SparkSession, sf_dir: str, edge: int) -> DataFrame:
+    """The edge of one id: its kind names the table, and its key (of a line, its order's) is filtered in the scan."""
+    kind, key = divmod(edge, EDGE_STEP)
+    c, t, n = F.col, lambda x, k: read(spark, sf_dir, x).filter(F.col(k) == key), node_id
+    made = {
+        1: lambda: _edges(t("nation", "n_nationkey"), 1, c("n_nationkey"), n("Nation", "n_nationkey"), n("Region", "n_regionkey"), "PART_OF"),
+        2: lambda: _edges(t("customer", "c_custkey"), 2, c("c_custkey"), n("Customer", "c_custkey"), n("Nation", "c_nationkey"), "IN_NATION"),
+        3: lambda: _edges(t("supplier", "s_suppkey"), 3, c("s_suppkey"), n("Supplier", "s_suppkey"), n("Nation", "s_nationkey"), "IN_NATION"),
+        4: lambda: _edges(t("orders", "o_orderkey"), 4, c("o_orderkey"), n("Customer", "o_custkey"), n("Order", "o_orderkey"), "PLACED"),
+    }
+    if kind in made:
+        return made[kind]()
+    return _line_edges(line_numbers(spark, sf_dir, F.col("l_orderkey") == key // 10_000)).filter(F.col("id") == edge)
+
+
+def commerce_around(spark: SparkSession, sf_dir: str, node: int) -> PropertyGraph:
+    """A node and the edges that touch it, each filtered by a key column of its table; the graph's nodes are just this one."""
+    kind = next((k for k, number in KINDS.items() if number == (node - 1) // NODE_STEP), None)
+    key = (node - 1) % NODE_STEP
+    c, t, n = F.col, lambda x, k: read(spark, sf_dir, x).filter(F.col(k) == key), node_id
+    nations = lambda by: _edges(t("nation", by), 1, c("n_nationkey"), n("Nation", "n_nationkey"), n("Region", "n_regionkey"), "PART_OF")
+    customers = lambda by: _edges(t("customer", by), 2, c("c_custkey"), n("Customer", "c_custkey"), n("Nation", "c_nationkey"), "IN_NATION")
+    suppliers = lambda by: _edges(t("supplier", by), 3, c("s_suppkey"), n("Supplier", "s_suppkey"), n("Nation", "s_nationkey"), "IN_NATION")
+    placed = lambda by: _edges(t("orders", by), 4, c("o_orderkey"), n("Customer", "o_custkey"), n("Order", "o_orderkey"), "PLACED")
+
+    def lines(by: str) -> DataFrame:
+        """Lines of the orders that have one with the key: numbers need whole orders."""
+        orders = t("lineitem", by).select("l_orderkey").distinct()
+        items = read(spark, sf_dir, "lineitem").join(orders, "l_orderkey", "left_semi")
+        order = Window.partitionBy("l_orderkey").orderBy(*[x for x in items.columns if x != "l_orderkey"])
+        return _line_edges(items.withColumn("line", F.col("l_orderkey") * 10_000 + F.row_number().over(order)))
+
+    made = {
+        "Region": lambda: [nations("n_regionkey")],
+        "Nation": lambda: [nations("n_nationkey"), customers("c_nationkey"), suppliers("s_nationkey")],
+        "Customer": lambda: [customers("c_custkey"), placed("o_custkey")],
+        "Supplier": lambda: [suppliers("s_suppkey"), lines("l_suppkey")],
+        "Part": lambda: [lines("l_partkey")],
+        "Order": lambda: [placed("o_orderkey"), _line_edges(line_numbers(spark, sf_dir, F.col("l_orderkey") == key))],
+    }
+    parts = made[kind]() if kind else [commerce_edges(spark, sf_dir, ("PART_OF",)).limit(0)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    touching = out.filter((F.col("src") == node) | (F.col("dst") == node))
+    return PropertyGraph(commerce_node(spark, sf_dir, node), touching)
+
+
 def commerce_edges(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = ("PART_OF", "IN_NATION", "PLACED", "CONTAINS", "SUPPLIED_BY")) -> DataFrame:
     c, t, n = F.col, lambda x: read(spark, sf_dir, x), node_id
+    if {"CONTAINS", "SUPPLIED_BY"} <= set(labels):  # one numbering serves both
+        others = tuple(x for x in labels if x not in ("CONTAINS", "SUPPLIED_BY"))
+        lines = _line_edges(line_numbers(spark, sf_dir))
+        return commerce_edges(spark, sf_dir, others).unionByName(lines) if others else lines
     made = {
         "PART_OF": lambda: [_edges(t("nation"), 1, c("n_nationkey"), n("Nation", "n_nationkey"), n("Region", "n_regionkey"), "PART_OF")],
         "IN_NATION": lambda: [

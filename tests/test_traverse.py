@@ -108,3 +108,45 @@ def test_navigation_paths(spark):
     rows = spark.createDataFrame([("a;b;<;c",), ("a;zz;b;c",)], "path string")
     got = sorted((r["src"], r["dst"]) for r in traverse.paths_from_navigation(rows, nodes).collect())
     assert got == [(1, 2), (2, 3), (2, 3)]
+
+
+def test_large_frontiers_are_numbered_by_range(spark, monkeypatch):
+    monkeypatch.setattr(traverse, "WINDOW_ROWS", 0)
+    r = random.Random(11)
+    pairs = [(r.randint(1, 40), r.randint(1, 40)) for _ in range(160)]
+    g = graph(spark, 40, pairs)
+    found, _ = queue_walk(pairs, 1, 4)
+    assert [(x["id"], x["depth"]) for x in traverse.bfs(g, 1, 4).collect()] == found
+    starts = spark.createDataFrame([(1,), (2,), (3,)], "start long")
+    got = traverse.ranked(traverse.bfs_from(g.edges, starts, 4)).filter("depth > 0").orderBy("start", "rank").collect()
+    for s in (1, 2, 3):
+        assert [(x["id"], x["depth"], x["rank"]) for x in got if x["start"] == s] == [(i, d, k) for k, (i, d) in enumerate(queue_walk(pairs, s, 4)[0], 1)]
+
+
+def test_no_task_sorts_a_whole_result(spark):
+    from pyspark.sql import functions as F
+
+    g = graph(spark, 4, [(1, 2), (1, 3), (2, 4)])
+    plan = traverse.ranked(traverse.bfs_from(g.edges, spark.createDataFrame([(1,)], "start long"), 3))._jdf.queryExecution().executedPlan().toString()
+    assert "SinglePartition" not in plan and F is not None
+
+
+def test_simple_cycles_against_a_walk(spark):
+    r = random.Random(12)
+    pairs = [(r.randint(1, 7), r.randint(1, 7)) for _ in range(22)]
+    out = {}
+    for a, b in pairs:
+        out.setdefault(a, set()).add(b)
+    want = set()
+
+    def walk(path):
+        for y in out.get(path[-1], ()):
+            if y == path[0]:
+                want.add(tuple(path))
+            elif y > path[0] and y not in path and len(path) < 4:
+                walk([*path, y])
+
+    for x in range(1, 8):
+        walk([x])
+    got = [tuple(x["cycle"]) for x in traverse.simple_cycles(graph(spark, 7, pairs).edges, 4).collect()]
+    assert sorted(got) == sorted(want)
