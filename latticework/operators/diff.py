@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -71,13 +72,13 @@ def props_text(df: DataFrame, props: str = "props") -> Column:
     risky = df.filter(F.exists(F.map_values(props), lambda x: V.needs_python(x))).limit(1)
     if risky.isEmpty():
         return F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), V.text_key(e["value"], python=False))), ",")
-    whole = F.transform(entries, lambda e: F.struct(e["key"].alias("k"), e["value"]["t"].alias("t"), e["value"]["v"].alias("v")))
-    return _props_text(whole)
+    of = lambda get: F.transform(entries, get)
+    return _props_text(of(lambda e: e["key"]), of(lambda e: e["value"]["t"]), of(lambda e: e["value"]["v"]))
 
 
-@F.udf(StringType())
-def _props_text(entries):
-    return ",".join(f"{e['k']}={V.python_text(e['t'], e['v'])}" for e in entries)
+@F.pandas_udf(StringType())
+def _props_text(keys: pd.Series, kinds: pd.Series, texts: pd.Series) -> pd.Series:
+    return pd.Series([",".join(f"{k}={V.python_text(t, v)}" for k, t, v in zip(*row, strict=True)) for row in zip(keys, kinds, texts, strict=True)], dtype=object)
 
 
 def edge_strings(edges: DataFrame, ids: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from latticework.errors import NodeNotFoundError
 from latticework.functions import values as V
+from latticework.functions.checkpoints import ship
 
 
 def has_label(labels: Iterable[str], column: str = "labels") -> Column:
@@ -101,6 +102,7 @@ class Query:
         elif self.predicate is not None:
             test, of = self.predicate, Node.of if self.is_node else Edge.of
             names = df.columns
+            ship(df.sparkSession)  # the callback may name this package on the executors
             df = df.filter(F.udf(lambda *xs: bool(test(of(dict(zip(names, xs, strict=True))))), "boolean")(*names))
         return df
 

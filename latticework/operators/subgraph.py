@@ -69,7 +69,8 @@ def display_text(props: str = "props", keys: tuple[str, ...] = ("name", "title",
 def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """line, section, id: a node line each, then an edge line each, below ``graph LR``."""
     title = F.coalesce(F.when(V.prop_str("name") != "", V.prop_str("name")), F.when(V.prop_str("title") != "", V.prop_str("title")), F.lit(""))
-    text = F.concat(F.array_join("labels", ","), F.when(title != "", F.concat(F.lit(": "), title)).otherwise(F.lit("")))
+    kinds = F.when(F.size("labels") > 0, F.array_join("labels", "/")).otherwise(F.col("id").cast("string"))
+    text = F.concat(kinds, F.when(title != "", F.concat(F.lit(":"), title)).otherwise(F.lit("")))
     node = F.concat(F.lit("N"), F.col("id").cast("string"), F.lit('["'), F.replace(text, F.lit('"'), F.lit("'")), F.lit('"]'))
     edge = F.concat(F.lit("N"), F.col("src").cast("string"), F.lit(" -->|"), F.col("label"), F.lit("| N"), F.col("dst").cast("string"))
     return nodes.select(F.lit(1).alias("section"), "id", node.alias("line")).union(edges.select(F.lit(2).alias("section"), "id", edge.alias("line")))
@@ -77,7 +78,7 @@ def mermaid_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def mermaid(nodes: DataFrame, edges: DataFrame) -> str:
     rows = mermaid_lines(nodes, edges).orderBy("section", "id").collect()
-    return "\n".join(["graph LR", *(f"  {r['line']}" for r in rows)])
+    return "\n".join(["graph LR", *(f"    {r['line']}" for r in rows)])
 
 
 def viewer_summary(graph: PropertyGraph, max_nodes: int = 300, max_edges: int = 600) -> dict[str, object]:

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
-import shutil
 import sys
+import uuid
 from typing import Any
 
 from pyspark.sql import SparkSession
@@ -15,6 +14,7 @@ from latticework.errors import GraphError, UsageError
 from latticework.operators import diff, events, merge, subgraph
 from latticework.plans import tools
 from latticework.sources import json_io
+from latticework.sources.folder import Folder
 from latticework.sources.store import GraphStore
 
 VERSION = "0.1.0"
@@ -24,11 +24,10 @@ def emit(value: Any) -> None:
     print(json.dumps(value, sort_keys=True, ensure_ascii=False, default=str))
 
 
-def rules_of(path: str | None) -> dict[str, list[str]] | None:
+def rules_of(spark: SparkSession, path: str | None) -> dict[str, list[str]] | None:
     if path is None:
         return None
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    data = json.loads(Folder(spark, path).read())
     rules = data.get("identity_rules") if isinstance(data, dict) else None
     if not isinstance(rules, dict) or not rules or not all(isinstance(v, list) and v and all(isinstance(k, str) for k in v) for v in rules.values()):
         raise UsageError("identity rules must map labels to lists of keys")
@@ -43,6 +42,7 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="latticework")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("version")
+    sub.add_parser("help")
 
     def command(name: str, *args: str) -> argparse.ArgumentParser:
         c = sub.add_parser(name)
@@ -78,33 +78,42 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("start", type=int)
     c.add_argument("goal", type=int)
     c.add_argument("--edge-label")
+    c.add_argument("--format", choices=("json", "text"), default="json")
+    c.add_argument("--no-mermaid", action="store_true")
     c = command("events", "action", "graph")
     c.add_argument("payload", nargs="?")
     return p
 
 
-def fresh(path: str, force: bool) -> str:
-    if os.path.exists(path):
-        if not force:
-            raise UsageError(f"{path} exists; use --force to replace it")
-        shutil.rmtree(path)
-    return path
+def free(spark: SparkSession, path: str, force: bool) -> None:
+    if not force and Folder(spark, path).exists():
+        raise UsageError(f"{path} exists; use --force to replace it")
 
 
 def save(spark: SparkSession, graph, path: str) -> None:
-    with GraphStore(spark, path) as out:
-        out.graph = graph
-        out.commit()
+    """Write a graph folder beside ``path`` and put it in its place; an old one goes only when the new one is whole."""
+    temporary = Folder(spark, f"{path.rstrip('/')}.{uuid.uuid4().hex}")
+    try:
+        with GraphStore(spark, temporary.path) as out:
+            out.graph = graph
+            out.commit()
+        Folder(spark, path).delete()
+        temporary.move(path)
+    finally:
+        temporary.delete()
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.command == "version":
         emit({"version": VERSION})
         return 0
+    if a.command == "help":
+        parser().print_help()
+        return 0
     if a.command in ("diff", "merge"):
         if a.node_key and a.identity_rules:
             raise UsageError("--node-key and --identity-rules exclude each other")
-        keys, rules = keys_of(a.node_key), rules_of(a.identity_rules)
+        keys, rules = keys_of(a.node_key), rules_of(spark, a.identity_rules)
         with GraphStore(spark, a.left) as left, GraphStore(spark, a.right) as right:
             if a.command == "diff":
                 report = diff.diff(left.graph, right.graph, keys, rules)
@@ -116,62 +125,59 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
                 report = merge.preview(left.graph, right.graph, keys, rules, a.edge_strategy, a.on_node_conflict)
                 print(merge.format_text(report)) if a.format == "text" else emit(report)
                 return int(a.fail_on_conflict and not report["can_merge"])
-            if not a.output or os.path.abspath(a.output) in (left.path, right.path):
+            if not a.output or Folder(spark, a.output).path in (left.path, right.path):
                 raise UsageError("merge needs an output other than its inputs")
             if rules and not merge.rule_conflicts(left.graph.nodes, right.graph.nodes, rules).isEmpty():
                 raise UsageError("conflicts; see --dry-run")
-            fresh(a.output, a.force)
+            free(spark, a.output, a.force)
             result = merge.merge_from(left.graph, right.graph, keys, a.edge_strategy, a.on_node_conflict, rules)
+            report = result.report()
             save(spark, result.graph, a.output)
-            emit(result.report())
+            emit(report)
         return 0
     if a.command == "import":
-        fresh(a.output, a.force)
-        with open(a.file, encoding="utf-8") as f:
-            text = f.read()
-        try:
-            save(spark, json_io.import_json(spark, text), a.output)
-        except Exception:
-            shutil.rmtree(a.output, ignore_errors=True)
-            raise
+        free(spark, a.output, a.force)
+        text = Folder(spark, a.file).read()
+        save(spark, json_io.import_json(spark, text), a.output)
         emit({"imported": True})
         return 0
     with GraphStore(spark, a.graph) as store:
         g = store.graph
         if a.command == "pack":
             packed = subgraph.pack(g, a.include_labels.split(","))
-            fresh(a.output, a.force)
+            free(spark, a.output, a.force)
+            counts = {"node_count": packed.node_count(), "edge_count": packed.edge_count()}
             save(spark, packed, a.output)
-            emit({"node_count": packed.node_count(), "edge_count": packed.edge_count()})
+            emit(counts)
         elif a.command == "export":
-            text = json_io.export_json(g)
-            json_io.save(text, a.output, a.force) if a.output else print(text, end="")
+            parts = json_io.document_parts(g, "export_version")
+            json_io.save(spark, parts, a.output, a.force) if a.output else sys.stdout.writelines(parts)
         elif a.command == "manifest":
-            print(json_io.manifest(g), end="")
+            sys.stdout.writelines(json_io.document_parts(g, "manifest_version"))
         elif a.command == "stats":
             emit(tools.stats(g, a.graph, store.file_size()))
         elif a.command in ("sign", "verify"):
-            with open(a.key_file, "rb") as f:
-                key = f.read()
+            key = Folder(spark, a.key_file).read().encode()
             if a.command == "sign":
                 emit(json_io.sign(g, key))
                 return 0
-            with open(a.signature, encoding="utf-8") as f:
-                report = json_io.verify(g, key, json.load(f))
+            report = json_io.verify(g, key, json.loads(Folder(spark, a.signature).read()))
             emit(report)
             return int(not report["valid"])
         elif a.command == "trace":
-            report = tools.trace(g, a.start, a.goal, a.edge_label)
-            emit(report)
-            return int("error" in report or not report["found"])
+            report = tools.trace(g, a.start, a.goal, a.edge_label, a.graph)
+            if a.format == "text" and "error" not in report:
+                print(tools.trace_text(report, not a.no_mermaid))
+            else:
+                emit(report)
+            return int("error" in report or report["path"] is None)
         elif a.command == "events":
             if a.action == "list":
                 emit(events.list_events(g))
             elif a.action == "append":
                 text = a.payload or "{}"
                 if text.startswith("@"):
-                    with open(text[1:], encoding="utf-8") as f:
-                        text = f.read()
+                    text = Folder(spark, text[1:]).read()
                 store.graph, event_id = events.append_event(g, **json.loads(text))
                 store.commit()
                 emit({"event_id": event_id})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable, Mapping
 from typing import Any
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from latticework.errors import GraphError, UsageError
 from latticework.functions import values as V
 from latticework.operators import aggregate, diff, merge, mutate, subgraph, traverse
-from latticework.operators.graph import Node, PropertyGraph, has_label
+from latticework.operators.graph import Edge, Node, PropertyGraph, has_label
 from latticework.sources import json_io
 from latticework.sources.store import GraphStore
 
@@ -43,7 +44,13 @@ def discover(folder: str = ".") -> str:
 
 
 def node_dict(n: Node) -> dict[str, Any]:
-    return {"id": n.id, "labels": list(n.labels), "properties": n.properties}
+    """A flat record; a property named like a meta key is called ``prop_<name>``."""
+    return {"id": n.id, "labels": list(n.labels)} | {k if k not in ("id", "labels") else f"prop_{k}": v for k, v in n.properties.items()}
+
+
+def edge_dict(e: Edge) -> dict[str, Any]:
+    meta = {"id": e.id, "label": e.label, "from": e.from_node, "to": e.to_node}
+    return meta | {k if k not in meta else f"prop_{k}": v for k, v in e.properties.items()}
 
 
 def stats(graph: PropertyGraph, path: str = ":memory:", size: int = 0) -> dict[str, Any]:
@@ -65,61 +72,117 @@ def find(graph: PropertyGraph, where: Mapping[str, Any] | None = None, label: st
 
 @guarded
 def explore(graph: PropertyGraph, node: int, depth: int | None = None, edge_label: str | None = None, shown: int = 50) -> dict[str, Any]:
-    """The node, what is within ``depth`` hops (first ``shown``), and the edges among them; the label narrows only the edges shown."""
+    """The node and what is within ``depth`` hops, in order of discovery (first ``shown`` of all), and the edges among them; the label narrows only the edges shown."""
     graph.require(node)
-    found = traverse.bfs(graph, node, clamp(depth, 0, 4, 2)).limit(shown + 1).collect()
-    ids = graph.spark.createDataFrame([(node,), *((r["id"],) for r in found[:shown])], "id long")
-    nodes, edges = graph.hydrate(ids), graph.edges_between(ids)
-    if edge_label is not None:
+    found = [node, *(r["id"] for r in traverse.bfs(graph, node, clamp(depth, 0, 4, 2)).limit(shown).collect())]
+    order = {i: k for k, i in enumerate(found[:shown])}
+    ids = graph.spark.createDataFrame([(i,) for i in order], "id long")
+    edges = graph.edges_between(ids)
+    if edge_label:
         edges = edges.filter(F.col("label") == edge_label)
+    nodes = sorted(map(Node.of, graph.hydrate(ids).collect()), key=lambda n: order[n.id])
     return {
-        "center": node_dict(graph.get_node(node)),
-        "nodes": [{"id": r["id"], "depth": r["depth"]} for r in found[:shown]],
+        "center": node_dict(nodes[0]),
+        "nodes": [node_dict(n) for n in nodes],
+        "edges": [edge_dict(Edge.of(e)) for e in edges.orderBy("id").collect()],
+        "mermaid": subgraph.mermaid(graph.hydrate(ids), edges),
         "truncated": len(found) > shown,
-        "edges": [{"id": e["id"], "from_node": e["src"], "to_node": e["dst"], "label": e["label"]} for e in edges.collect()],
-        "mermaid": subgraph.mermaid(nodes, edges),
     }
 
 
-KEY_FACTORS = ("LEARNED_FROM", "CONSTRAINED_BY")
+def title_of(n: dict[str, Any]) -> str:
+    """Title, path or name of a flat record, else its labels and id."""
+    for k in ("title", "path", "name"):
+        if k in n:
+            return str(n[k])
+    return f"{'/'.join(n['labels'])} #{n['id']}" if n["labels"] else f"node {n['id']}"
 
 
-def title_of(n: Node) -> str:
-    for k in ("title", "name", "path", "key", "text"):
-        if n.get(k):
-            return str(n[k])
-    return f"node:{n.id}"
+def row_title(n: dict[str, Any]) -> str:
+    return str(n["path"]) if "File" in n["labels"] and n.get("path") else title_of(n)
+
+
+def filled(n: dict[str, Any], key: str) -> str:
+    """A text property without the space around it; empty where it is none."""
+    value = n.get(key)
+    return value.strip() if isinstance(value, str) else ""
+
 
+def factor(n: dict[str, Any], chosen: bool) -> str:
+    """What a key factor's line says: its own words, of a chosen option the first half of its summary, else its title."""
+    summary = n.get("summary")
+    if own := filled(n, "key_factor"):
+        return own
+    if chosen and isinstance(summary, str) and " and " in summary:
+        return summary.partition(" and ")[0].strip()
+    return title_of(n)
 
-def narrative(path: list[Node], out: list[tuple[str, Node]]) -> list[str]:
-    """Plain sentences about the first decision of a path: its reasons, key factors, rejected options, and files."""
-    decision = next((n for n in path if "Decision" in n.labels), None)
-    if decision is None:
-        return []
-    on_path = {n.id for n in path}
-    lines = [f"Decision: {title_of(decision)}"]
-    lines += [f"Reason: {part.strip()}" for part in str(decision.get("reason") or "").split(";") if part.strip()]
-    options = [n for label, n in out if label == "CONSIDERED" and "Option" in n.labels]
-    factors = [n for kind in KEY_FACTORS for label, n in sorted(out, key=lambda x: x[1].id) if label == kind] + sorted((n for n in options if n.id in on_path), key=lambda n: n.id)
-    lines += [f"Key factor: {title_of(n)}" for n in factors]
-    lines += [f"Rejected: {title_of(n)}" for n in sorted(options, key=lambda n: n.id) if n.id not in on_path]
-    lines += [f"Implemented in: {title_of(n)}" for n in path if "File" in n.labels]
-    return lines
+
+def turned_down(n: dict[str, Any]) -> str:
+    """A rejected option without its leading "Use ", its note in brackets."""
+    title = title_of(n)
+    title = title[4:].strip() if title.startswith("Use ") else title
+    return f"{title} ({note})" if (note := filled(n, "rejection_note")) else title
+
+
+def narrative(path: list[dict[str, Any]], branches: list[dict[str, Any]]) -> dict[str, Any]:
+    """decision, why, factors, rejected, implemented of a path of flat records and the branches of its start."""
+    on_path = {n["id"] for n in path}
+    decision = next((n for n in path if "Decision" in n["labels"]), None)
+    kinds: dict[str, list] = {"LEARNED_FROM": [], "CONSTRAINED_BY": [], "chosen": [], "rejected": []}
+    for b in branches:
+        label, n = b["edge_label"], b["target"]
+        if label == "CONSIDERED" and "Option" in n["labels"]:
+            label = "chosen" if n["id"] in on_path else "rejected"
+        if label in kinds:
+            kinds[label].append(n)
+    ordered = [(n, k == "chosen") for k in ("LEARNED_FROM", "CONSTRAINED_BY", "chosen") for n in sorted(kinds[k], key=lambda n: n["id"])]
+    reason = str((decision or {}).get("reason") or "")
+    return {
+        "decision": title_of(decision) if decision else None,
+        "why": [x.strip() for x in reason.split(";") if x.strip()],
+        "factors": [factor(n, chosen) for n, chosen in ordered],
+        "rejected": [turned_down(n) for n in kinds["rejected"]],
+        "implemented": row_title(path[-1]) if path and "File" in path[-1]["labels"] else None,
+    }
 
 
 @guarded
-def trace(graph: PropertyGraph, start: int, goal: int, edge_label: str | None = None) -> dict[str, Any]:
+def trace(graph: PropertyGraph, start: int, goal: int, edge_label: str | None = None, source: str = "") -> dict[str, Any]:
     """Shortest path, the label of each hop, and the branches of the start."""
-    path = traverse.shortest_path(graph, start, goal, edge_label)
-    out = [(r["label"], Node(r["to_node"], tuple(r["labels"] or ()), V.decode_props(r["props"]))) for r in traverse.branches(graph, start).collect()]
-    listed = [{"label": label, "to": node_dict(n)} for label, n in out]
+    path = traverse.shortest_path(graph, start, goal, edge_label or None)
+    branches = [{"edge_label": r["label"], "target": node_dict(Node(r["to_node"], tuple(r["labels"] or ()), V.decode_props(r["props"])))} for r in traverse.branches(graph, start).collect()]
+    base = {"source": source, "from_node": start, "to_node": goal, "edge_label": edge_label or "", "path": None, "mermaid": "", "reasoning_branches": branches, "path_hop_labels": []}
     if path is None:
-        return {"found": False, "path": [], "hops": [], "branches": listed, "narrative": [], "mermaid": ""}
+        return base
     ids = path.select("id")
     nodes = {r["id"]: Node.of(r) for r in graph.hydrate(ids).collect()}
-    ordered = [nodes[r["id"]] for r in path.orderBy("pos").collect()]
-    hops = traverse.hop_labels(graph.edges, path, edge_label).orderBy("pos").collect()
-    return {"found": True, "path": [node_dict(n) for n in ordered], "hops": [h["label"] for h in hops], "branches": listed, "narrative": narrative(ordered, out), "mermaid": subgraph.mermaid(graph.hydrate(ids), graph.edges_between(ids))}
+    ordered = [node_dict(nodes[r["id"]]) for r in path.orderBy("pos").collect()]
+    hops = traverse.hop_labels(graph.edges, path, edge_label or None).orderBy("pos").collect()
+    among = graph.edges_between(ids)
+    if edge_label:
+        among = among.filter(F.col("label") == edge_label)
+    return base | {"path": ordered, "path_hop_labels": [h["label"] for h in hops], "mermaid": subgraph.mermaid(graph.hydrate(ids), among)}
+
+
+def trace_text(payload: dict[str, Any], mermaid: bool = True) -> str:
+    """A trace in sections: what it is about, the decision and why, factors, what was rejected, where it was done, the path."""
+    label, path = payload["edge_label"], payload["path"]
+    only = [f"Edge label filter: {label}"] if label else []
+    if path is None:
+        return "\n".join(["Trace: (no path found)", *only, "", "No route under the given constraints."])
+    told = narrative(path, payload["reasoning_branches"])
+    about = filled(path[0], "trace_prompt") or f"{title_of(path[0])} → {title_of(path[-1])}"
+    sections = [[f"Trace: {about}", *only]]
+    if told["decision"] is not None:
+        sections.append(["Decision found:", told["decision"]])
+    for head, mark, lines in (("Why:", "✓ ", told["why"]), ("Key factors:", "✓ ", told["factors"]), ("Rejected:", "✗ ", told["rejected"]), ("Implemented in:", "", [told["implemented"]] * (told["implemented"] is not None))):
+        if lines:
+            sections.append([head, *(f"  {mark}{x}" for x in lines)])
+    sections.append(["Path:", *(("  → " if i else "  ") + row_title(n) for i, n in enumerate(path))])
+    if mermaid and payload["mermaid"]:
+        sections.append(["Mermaid:", payload["mermaid"]])
+    return "\n\n".join("\n".join(x) for x in sections)
 
 
 @guarded
@@ -127,9 +190,9 @@ def map_tool(graph: PropertyGraph, ids: list[int] | None = None, limit: int | No
     rows = graph.nodes.filter(F.col("id").isin(*ids)) if ids else graph.nodes.orderBy("id").limit(clamp(limit, 1, 100, 30))
     chosen = rows.select("id")
     if chosen.isEmpty():
-        return {"mermaid": "graph LR", "message": "the graph is empty", "nodes": 0, "edges": 0}
+        return {"mermaid": "graph LR\n    empty[No nodes found]"}
     edges = graph.edges_between(chosen)
-    return {"mermaid": subgraph.mermaid(rows, edges), "nodes": chosen.count(), "edges": edges.count()}
+    return {"mermaid": subgraph.mermaid(rows, edges)}
 
 
 @guarded
@@ -144,7 +207,7 @@ def merge_preview(dst: PropertyGraph, src: PropertyGraph, **options: Any) -> dic
 
 @guarded
 def manifest_tool(graph: PropertyGraph) -> dict[str, Any]:
-    return json_io.document(graph, "manifest_version")
+    return json.loads(json_io.manifest(graph))
 
 
 @guarded

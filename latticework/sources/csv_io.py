@@ -5,22 +5,41 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from latticework.errors import UsageError
 from latticework.functions import values as V
+from latticework.functions.checkpoints import cut
 from latticework.operators.graph import PropertyGraph
 from latticework.operators.subgraph import numbered
 
 
+#: Texts of numbers as Python reads them: single underscores between digits, white space around.
+INT = r"^[+-]?\d+(_\d+)*$"
+FLOAT = r"(?i)^[+-]?((\d+(_\d+)*\.?(\d+(_\d+)*)?|\.\d+(_\d+)*)(e[+-]?\d+(_\d+)*)?|inf|infinity|nan)$"
+
+
 def coerced(text: Column) -> Column:
-    """A cell as a tagged value: int, else float, else bool, else string."""
-    as_int, as_float = text.try_cast("bigint"), text.try_cast("double")
+    """A cell as a tagged value: int, else float (so an int beyond 64 bits), else bool, else string."""
+    bare = F.regexp_replace(text, r"^\s+|\s+$", "")
+    digits = F.replace(bare, F.lit("_"), F.lit(""))
+    as_int, as_float = digits.try_cast("bigint"), digits.try_cast("double")
     return (
-        F.when(text.rlike(r"^[+-]?\d+$") & as_int.isNotNull(), V.tagged("int", as_int))
-        .when(as_float.isNotNull(), V.tagged("float", as_float))
+        F.when(bare.rlike(INT) & as_int.isNotNull(), V.tagged("int", as_int))
+        .when(bare.rlike(FLOAT), V.tagged("float", as_float))
         .when(F.lower(text).isin("true", "false"), V.tagged("bool", F.lower(text)))
         .otherwise(V.tagged("str", text))
     )
 
 
+def _read(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """The rows of a CSV file with columns that tell their order in it, and the file's own columns."""
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    place = {"__file": F.col("_metadata.file_path"), "__start": F.col("_metadata.file_block_start"), "__row": F.monotonically_increasing_id()}
+    return raw.withColumns(place), raw.columns
+
+
+PLACE = ["__file", "__start", "__row"]
+
+
 def _props(columns: list[str]) -> Column:
     """Cells that are not empty, as a property map."""
     if not columns:
@@ -30,21 +49,26 @@ def _props(columns: list[str]) -> Column:
 
 
 def read_nodes(spark: SparkSession, path: str) -> DataFrame:
-    """ext_id, id, labels, props of a file ``id,labels('|'),...``; ids from 1 by external id's order."""
-    raw = spark.read.csv(path, header=True)
-    rest = [c for c in raw.columns if c not in ("id", "labels")]
-    rows = raw.select(F.col("id").alias("ext_id"), F.filter(F.split(F.coalesce("labels", F.lit("")), r"\|"), lambda x: x != "").alias("labels"), _props(rest).alias("props"))
-    return numbered(rows, ["ext_id"], column="id")
+    """ext_id, id, labels, props of a file ``id,labels('|'),...``; ids from 1 in file order."""
+    raw, columns = _read(spark, path)
+    rest = [c for c in columns if c not in ("id", "labels")]
+    labels = F.filter(F.transform(F.split(F.coalesce("labels", F.lit("")), r"\|"), lambda x: F.trim(x)), lambda x: x != "")
+    rows = raw.select(F.col("id").alias("ext_id"), labels.alias("labels"), _props(rest).alias("props"), *PLACE)
+    return numbered(rows, PLACE, column="id").drop(*PLACE)
 
 
 def read_edges(spark: SparkSession, path: str, nodes: DataFrame) -> DataFrame:
-    """Edges of a file ``from_id,label,to_id,...``, ends looked up among the external ids."""
-    raw = spark.read.csv(path, header=True)
-    rest = [c for c in raw.columns if c not in ("from_id", "label", "to_id")]
-    ids = nodes.select("ext_id", "id")
-    rows = raw.select("from_id", "label", "to_id", _props(rest).alias("props"))
-    rows = rows.join(ids.select(F.col("ext_id").alias("from_id"), F.col("id").alias("src")), "from_id").join(ids.select(F.col("ext_id").alias("to_id"), F.col("id").alias("dst")), "to_id")
-    return numbered(rows, ["from_id", "label", "to_id"], column="id").select("id", "src", "dst", "label", "props")
+    """Edges of a file ``from_id,label,to_id,...`` in file order, ends looked up among the external ids (of equal ones, the last); an unknown end is an error."""
+    raw, columns = _read(spark, path)
+    rest = [c for c in columns if c not in ("from_id", "label", "to_id")]
+    ids = nodes.groupBy("ext_id").agg(F.max("id").alias("id"))
+    end = lambda c, to: ids.select(F.col("ext_id").alias(c), F.col("id").alias(to))
+    rows = raw.select("from_id", "label", "to_id", _props(rest).alias("props"), *PLACE)
+    rows = cut(rows.join(end("from_id", "src"), "from_id", "left").join(end("to_id", "dst"), "to_id", "left"))
+    lost = rows.filter("src is null or dst is null").select(F.when(F.col("src").isNull(), F.col("from_id")).otherwise(F.col("to_id")).alias("end")).first()
+    if lost:
+        raise UsageError(f"an edge refers to a node that does not exist: {lost['end']}")
+    return numbered(rows, PLACE, column="id").select("id", "src", "dst", "label", "props")
 
 
 def read_graph(spark: SparkSession, node_path: str, edge_path: str) -> PropertyGraph:

@@ -5,11 +5,12 @@ from __future__ import annotations
 import hashlib
 import hmac
 import json
-import os
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -17,30 +18,43 @@ from latticework.errors import UsageError
 from latticework.functions import values as V
 from latticework.operators.graph import Edge, Node, PropertyGraph
 from latticework.operators.subgraph import remapped
+from latticework.sources.folder import Folder
 
 #: Fixed values of the exchange format.
 FORMAT_VERSION, EXPORT_VERSION, MANIFEST_VERSION = "1.0", 1, 1
 ALGORITHM = "HMAC-SHA256"
 
 
-@F.udf(StringType())
-def _nested_json(t, v):
-    return json.dumps(V.decode(t, v), ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+@F.pandas_udf(StringType())
+def _nested_json(t: pd.Series, v: pd.Series) -> pd.Series:
+    return pd.Series([json.dumps(V.decode(a, b), ensure_ascii=False, allow_nan=False, sort_keys=True, separators=(",", ":")) if a in ("list", "map") else None for a, b in zip(t, v, strict=True)], dtype=object)
 
 
-def json_value(value, nested: bool):
+def quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    return F.regexp_replace(F.to_json(F.struct(text.alias("v"))), r'^\{"v":|\}$', "")
+
+
+def json_float(text: Column) -> Column:
+    """One form for each float, whoever wrote its text; NaN and infinity are refused."""
+    number = text.cast("double")
+    refused = F.raise_error(F.lit("NaN and infinity cannot be exported")).cast("string")
+    return F.when(F.isnan(number) | (F.abs(number) == float("inf")), refused).otherwise(number.cast("string"))
+
+
+def json_value(value: Column, nested: bool) -> Column:
     """JSON text of a tagged value; ``nested`` says whether lists and maps can occur, which need Python."""
-    quoted = F.regexp_replace(F.to_json(F.struct(value["v"].alias("v"))), r'^\{"v":|\}$', "")
-    plain = F.when(value["t"] == "null", "null").when(value["t"] == "str", quoted)
-    return (plain.when(value["t"].isin("list", "map"), _nested_json(value["t"], value["v"])) if nested else plain).otherwise(value["v"])
+    t, v = value["t"], value["v"]
+    plain = F.when(t == "null", "null").when(t == "str", quoted(v)).when(t == "float", json_float(v))
+    return (plain.when(t.isin("list", "map"), _nested_json(t, v)) if nested else plain).otherwise(v)
 
 
 def json_props(df: DataFrame) -> DataFrame:
     """``df`` with its property maps as JSON texts in column __props."""
     if df.filter(F.exists(F.map_values("props"), lambda x: x["t"].isin("list", "map"))).limit(1).isEmpty():
-        parts = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), json_value(e["value"], False)))
+        parts = F.transform(F.array_sort(F.map_entries("props")), lambda e: F.concat(quoted(e["key"]), F.lit(":"), json_value(e["value"], False)))
         return df.withColumn("__props", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")))
-    rows = df.select("id", F.explode("props").alias("key", "value")).withColumn("text", F.concat(F.lit('"'), "key", F.lit('":'), json_value(F.col("value"), True)))
+    rows = df.select("id", F.explode("props").alias("key", "value")).withColumn("text", F.concat(quoted(F.col("key")), F.lit(":"), json_value(F.col("value"), True)))
     texts = rows.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("key", "text"))).alias("parts"))
     joined = df.join(texts, "id", "left").withColumn("parts", F.coalesce(F.transform("parts", lambda e: e["text"]), F.array().cast("array<string>")))
     return joined.withColumn("__props", F.concat(F.lit("{"), F.array_join("parts", ","), F.lit("}")))
@@ -52,7 +66,7 @@ def node_lines(nodes: DataFrame) -> DataFrame:
 
 
 def edge_lines(edges: DataFrame) -> DataFrame:
-    label = F.regexp_replace(F.to_json(F.struct(F.col("label").alias("v"))), r'^\{"v":|\}$', "")
+    label = quoted(F.col("label"))
     return json_props(edges).select(
         "id",
         F.concat(F.lit('{"from_node":'), F.col("src").cast("string"), F.lit(',"id":'), F.col("id").cast("string"), F.lit(',"label":'), label, F.lit(',"properties":'), "__props", F.lit(',"to_node":'), F.col("dst").cast("string"), F.lit("}")).alias("line"),
@@ -73,17 +87,66 @@ def dumps(value: Any) -> str:
     return json.dumps(value, ensure_ascii=False, allow_nan=False, indent=2, sort_keys=True) + "\n"
 
 
+def listed(rows: DataFrame, of) -> Iterator[str]:
+    """The members of a JSON list, in id order; the driver holds one partition of rows at a time."""
+    first = True
+    for r in rows.orderBy("id").toLocalIterator():
+        item = of(r)
+        if not V.finite(item["properties"]):
+            raise UsageError("NaN and infinity cannot be exported")
+        text = json.dumps(item, ensure_ascii=False, allow_nan=False, indent=2, sort_keys=True)
+        yield ("\n    " if first else ",\n    ") + text.replace("\n", "\n    ")
+        first = False
+    yield "]" if first else "\n  ]"
+
+
+def document_parts(graph: PropertyGraph, kind: str) -> Iterator[str]:
+    """The text of document(), piece by piece, for graphs of any size."""
+
+    def node(r) -> dict[str, Any]:
+        n = Node.of(r)
+        return {"id": n.id, "labels": sorted(n.labels), "properties": n.properties}
+
+    def edge(r) -> dict[str, Any]:
+        e = Edge.of(r)
+        return {"id": e.id, "from_node": e.from_node, "to_node": e.to_node, "label": e.label, "properties": e.properties}
+
+    version = EXPORT_VERSION if kind == "export_version" else MANIFEST_VERSION
+    scalars = {"edge_count": graph.edge_count(), kind: version, "format_version": FORMAT_VERSION, "node_count": graph.node_count()}
+    lists = {"edges": (graph.edges, edge), "nodes": (graph.nodes, node)}
+    yield "{"
+    for i, name in enumerate(sorted(scalars | lists)):
+        yield ("," if i else "") + f'\n  "{name}": '
+        if name in lists:
+            yield "["
+            yield from listed(*lists[name])
+        else:
+            yield json.dumps(scalars[name])
+    yield "\n}\n"
+
+
 def export_json(graph: PropertyGraph) -> str:
-    return dumps(document(graph, "export_version"))
+    return "".join(document_parts(graph, "export_version"))
 
 
 def manifest(graph: PropertyGraph) -> str:
-    return dumps(document(graph, "manifest_version"))
+    return "".join(document_parts(graph, "manifest_version"))
+
+
+def plain_json(graph: PropertyGraph) -> str:
+    """Nodes and edges alone, without versions and counts; labels as they stand."""
+    nodes = [{"id": n.id, "labels": list(n.labels), "properties": n.properties} for n in map(Node.of, graph.all_nodes().collect())]
+    edges = [{"id": e.id, "from_node": e.from_node, "to_node": e.to_node, "label": e.label, "properties": e.properties} for e in map(Edge.of, graph.all_edges().collect())]
+    return json.dumps({"nodes": nodes, "edges": edges}, ensure_ascii=False, indent=2)
 
 
 def sign(graph: PropertyGraph, key: bytes) -> dict[str, str]:
-    data = manifest(graph).encode()
-    return {"algorithm": ALGORITHM, "format_version": FORMAT_VERSION, "sha256": hashlib.sha256(data).hexdigest(), "signature": hmac.new(key, data, hashlib.sha256).hexdigest()}
+    """Digest and signature of the manifest, taken while it passes."""
+    digest, signed = hashlib.sha256(), hmac.new(key, digestmod=hashlib.sha256)
+    for part in document_parts(graph, "manifest_version"):
+        digest.update(part.encode())
+        signed.update(part.encode())
+    return {"algorithm": ALGORITHM, "format_version": FORMAT_VERSION, "sha256": digest.hexdigest(), "signature": signed.hexdigest()}
 
 
 def verify(graph: PropertyGraph, key: bytes, signature: dict[str, str]) -> dict[str, bool]:
@@ -140,21 +203,31 @@ def write_lines(graph: PropertyGraph, path: str) -> None:
 
 
 def read_lines(spark: SparkSession, path: str) -> PropertyGraph:
-    """What write_lines() wrote, ids kept."""
+    """What write_lines() wrote, ids kept; a line's fields are parsed by schema, its properties, which have none, in Arrow batches."""
+    props = _tagged_props("properties").alias("props")
+    nodes = spark.read.schema("id long, labels array<string>, properties string").json(f"{path}/nodes").select("id", "labels", props)
+    edges = spark.read.schema("id long, from_node long, to_node long, label string, properties string").json(f"{path}/edges")
+    return PropertyGraph(nodes, edges.select("id", F.col("from_node").alias("src"), F.col("to_node").alias("dst"), "label", props))
 
-    def tagged(rows: Iterator[Any], node: bool):
-        for r in rows:
-            x = json.loads(r["value"])
-            props = V.encode_props(x["properties"])
-            yield (x["id"], x["labels"], props) if node else (x["id"], x["from_node"], x["to_node"], x["label"], props)
 
-    nodes = spark.createDataFrame(spark.read.text(f"{path}/nodes").rdd.mapPartitions(lambda p: tagged(p, True)), V.NODE_SCHEMA)
-    edges = spark.createDataFrame(spark.read.text(f"{path}/edges").rdd.mapPartitions(lambda p: tagged(p, False)), V.EDGE_SCHEMA)
-    return PropertyGraph(nodes, edges)
+@F.pandas_udf(V.PROPS)
+def _tagged_props(text: pd.Series) -> pd.Series:
+    """Property maps of JSON objects."""
+    return pd.Series([{k: {"t": t, "v": v} for k, (t, v) in V.encode_props(json.loads(x)).items()} for x in text], dtype=object)
 
 
-def save(text: str, path: str, force: bool = False) -> None:
-    if os.path.exists(path) and not force:
+def save(spark: SparkSession, parts: Iterable[str], path: str, force: bool = False) -> None:
+    """Write the parts to a file; an old one gives way only when all is written."""
+    folder, _, name = Folder(spark, path).path.rpartition("/")
+    place = Folder(spark, folder)
+    if not force and place.exists(name):
         raise UsageError(f"{path} exists; use --force to replace it")
-    with open(path, "w", encoding="utf-8") as f:
-        f.write(text)
+    temporary = f"{name}.{uuid.uuid4().hex}"
+    try:
+        stream = place.fs.create(place.at(temporary), True)
+        for part in parts:
+            stream.write(bytearray(part.encode()))
+        stream.close()
+        place.replace(temporary, name)
+    finally:
+        place.delete(temporary)

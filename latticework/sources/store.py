@@ -3,14 +3,15 @@
 A folder holds ``v<N>/nodes``, ``v<N>/edges`` and the file CURRENT.  Commit
 writes version N + 1 beside the others and then renames a new CURRENT over the
 old one; a crash before the rename leaves version N in place.  One writer at a
-time holds the lock folder.
+time holds the file LOCK.  All of it goes through Spark's file systems, so the
+folder may lie in any store that the cluster shares.
 """
 
 from __future__ import annotations
 
 import json
 import os
-import shutil
+import socket
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -21,6 +22,7 @@ from latticework.errors import AlreadyOpenError, TransactionError
 from latticework.functions import values as V
 from latticework.operators import mutate, subgraph
 from latticework.operators.graph import PropertyGraph
+from latticework.sources.folder import Folder
 
 MEMORY = ":memory:"
 _OPEN: set[str] = set()
@@ -47,7 +49,8 @@ class GraphStore:
             self._committed = PropertyGraph.empty(spark)
             self.version = 0
         else:
-            self.path = os.path.abspath(path)
+            self.folder = Folder(spark, path)
+            self.path = self.folder.path
             self._lock()
             self.version = 0
             self._committed = self._load()
@@ -57,29 +60,22 @@ class GraphStore:
     def _lock(self) -> None:
         if self.path in _OPEN:
             raise AlreadyOpenError(f"{self.path} is open already")
-        os.makedirs(self.path, exist_ok=True)
-        lock = os.path.join(self.path, "LOCK")
+        self.folder.make()
         for _ in range(2):
-            try:
-                os.mkdir(lock)
+            if self.folder.write("LOCK", f"{socket.gethostname()} {os.getpid()}", overwrite=False):
                 break
-            except FileExistsError:
-                try:
-                    with open(os.path.join(lock, "pid")) as f:
-                        pid = int(f.read())
-                except (OSError, ValueError):
-                    pid = 0
-                if pid and _alive(pid):
-                    raise AlreadyOpenError(f"{self.path} is open in process {pid}") from None
-                shutil.rmtree(lock, ignore_errors=True)
-        with open(os.path.join(lock, "pid"), "w") as f:
-            f.write(str(os.getpid()))
+            host, _, pid = self.folder.read("LOCK").partition(" ")
+            if host != socket.gethostname() or (pid.isdigit() and _alive(int(pid))):
+                raise AlreadyOpenError(f"{self.path} is open in process {pid} on {host}")
+            self.folder.delete("LOCK")  # left by a process that is gone
+        else:
+            raise AlreadyOpenError(f"{self.path} was opened by another process")
         _OPEN.add(self.path)
 
     def close(self) -> None:
         """Uncommitted work is lost; closing twice is fine."""
         if not self.closed and self.path != MEMORY:
-            shutil.rmtree(os.path.join(self.path, "LOCK"), ignore_errors=True)
+            self.folder.delete("LOCK")
             _OPEN.discard(self.path)
         self.closed = True
 
@@ -90,13 +86,11 @@ class GraphStore:
         self.close()
 
     def _load(self) -> PropertyGraph:
-        current = os.path.join(self.path, "CURRENT")
-        if not os.path.exists(current):
+        if not self.folder.exists("CURRENT"):
             return PropertyGraph.empty(self.spark)
-        with open(current) as f:
-            meta = json.load(f)
+        meta = json.loads(self.folder.read("CURRENT"))
         self.version = meta["version"]
-        folder = os.path.join(self.path, f"v{self.version}")
+        folder = f"{self.path}/v{self.version}"
         nodes = self.spark.read.schema(V.NODE_SCHEMA).parquet(f"{folder}/nodes")
         edges = self.spark.read.schema(V.EDGE_SCHEMA).parquet(f"{folder}/edges")
         return PropertyGraph(nodes, edges, meta["next_node"], meta["next_edge"])
@@ -117,17 +111,14 @@ class GraphStore:
     def _publish(self, graph: PropertyGraph) -> None:
         if self.path != MEMORY:
             version = self.version + 1
-            folder = os.path.join(self.path, f"v{version}")
-            shutil.rmtree(folder, ignore_errors=True)
+            folder = f"{self.path}/v{version}"
+            self.folder.delete(f"v{version}")
             graph.nodes.write.parquet(f"{folder}/nodes")
             graph.edges.write.parquet(f"{folder}/edges")
             meta = {"version": version, "next_node": graph.next_id("node"), "next_edge": graph.next_id("edge")}
-            temporary = os.path.join(self.path, f"CURRENT.{uuid.uuid4().hex}")
-            with open(temporary, "w") as f:
-                json.dump(meta, f)
-                f.flush()
-                os.fsync(f.fileno())
-            os.replace(temporary, os.path.join(self.path, "CURRENT"))
+            temporary = f"CURRENT.{uuid.uuid4().hex}"
+            self.folder.write(temporary, json.dumps(meta))
+            self.folder.replace(temporary, "CURRENT")
             self.version = version
             graph = self._load()
         self._committed = self._graph = graph
@@ -161,14 +152,14 @@ class GraphStore:
         self._publish(PropertyGraph.empty(self.spark))
 
     def vacuum(self) -> None:
-        """Rewrite the committed version compactly and remove older ones; ids stay."""
+        """Commit what is staged, write it anew in compact form and remove older versions; ids and their counters stay."""
         if self.in_transaction:
             raise TransactionError("vacuum inside a transaction")
         self._publish(self.graph)
         if self.path != MEMORY:
-            for name in os.listdir(self.path):
+            for name in self.folder.names():
                 if name.startswith("v") and name != f"v{self.version}":
-                    shutil.rmtree(os.path.join(self.path, name), ignore_errors=True)
+                    self.folder.delete(name)
 
     def repair_adjacency(self) -> dict[str, int]:
         counts = subgraph.repair_adjacency(self.graph)
@@ -176,10 +167,7 @@ class GraphStore:
         return counts
 
     def file_size(self) -> int:
-        if self.path == MEMORY:
-            return 0
-        folder = os.path.join(self.path, f"v{self.version}")
-        return sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(folder) for f in files)
+        return 0 if self.path == MEMORY else self.folder.size(f"v{self.version}")
 
     def info(self) -> dict:
         return self.graph.info(self.file_size())

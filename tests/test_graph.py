@@ -128,7 +128,7 @@ def test_dangling(spark):
 
 def test_mermaid(people):
     text = subgraph.mermaid(people.nodes.filter("id = 4"), people.edges.filter(F.lit(False)))
-    assert text == 'graph LR\n  N4["Company: Acme"]'
+    assert text == 'graph LR\n    N4["Company:Acme"]'
 
 
 def test_numbered_is_dense_and_ordered(spark):

@@ -135,13 +135,17 @@ TRACE_EDGES = [(1, "CONSIDERED", 2, {}), (1, "CONSIDERED", 3, {}), (2, "SUPPORTS
 def test_tools(spark, tmp_path):
     g = PropertyGraph.of(spark, TRACE_NODES, TRACE_EDGES)
     t = tools.trace(g, 1, 5)
-    assert [n["id"] for n in t["path"]] == [1, 2, 4, 5] and t["hops"] == ["CONSIDERED", "SUPPORTS", "IMPLEMENTED_IN"]
-    assert t["narrative"] == ["Decision: D", "Reason: fast", "Reason: safe", "Key factor: O1", "Rejected: O2", "Implemented in: f.py"]
+    assert [n["id"] for n in t["path"]] == [1, 2, 4, 5] and t["path_hop_labels"] == ["CONSIDERED", "SUPPORTS", "IMPLEMENTED_IN"]
+    assert t["path"][0] == {"id": 1, "labels": ["Task"], "title": "T"} and t["reasoning_branches"][1] == {"edge_label": "CONSIDERED", "target": {"id": 3, "labels": ["Option"], "name": "O2"}}
+    assert tools.narrative(t["path"], t["reasoning_branches"]) == {"decision": "D", "why": ["fast", "safe"], "factors": ["O1"], "rejected": ["O2"], "implemented": "f.py"}
     e = tools.explore(g, 1, 1)
-    assert [n["id"] for n in e["nodes"]] == [3, 2] and not e["truncated"]
+    assert [n["id"] for n in e["nodes"]] == [1, 3, 2] and not e["truncated"]
+    assert e["edges"][0] == {"id": 1, "label": "CONSIDERED", "from": 1, "to": 2}
+    assert e["mermaid"].splitlines()[:2] == ["graph LR", '    N1["Task:T"]']
+    assert tools.explore(g, 1, 1, shown=2)["truncated"]
     assert tools.explore(g, 99)["error"]["code"] == "NodeNotFoundError"
     assert tools.overview(g)["samples"][0]["id"] == 1
-    assert tools.map_tool(PropertyGraph.empty(spark))["message"]
+    assert tools.map_tool(PropertyGraph.empty(spark)) == {"mermaid": "graph LR\n    empty[No nodes found]"}
     assert tools.context_packet(g, 1, 1).splitlines()[0].startswith("  - Option")
     with GraphStore(spark) as s:
         made = tools.append(s, [{"ref": "a", "labels": ["P"]}, {"ref": "b", "labels": ["P"], "properties": {"k": 1}}], [{"from": "a", "label": "R", "to": "b"}])
@@ -177,3 +181,102 @@ def test_cli(spark, tmp_path, capsys):
     assert cli.main(["pack", a, "--include-labels", "Task", "-o", str(tmp_path / "p")], spark) == 0
     assert cli.main(["events", "append", a, '{"actor": "ann", "operation": "x"}'], spark) == 0
     assert cli.main(["nonsense"], spark) == 2
+
+
+def test_lines_of_odd_keys_and_floats(spark, tmp_path):
+    g = PropertyGraph.of(spark, [(["A"], {'ke"y\\': 1, "f": 1e20, "g": 0.1, "m": {"a": [1, 2.5, None, True, "x\n"]}}), (["B"], {})], [(1, 'la"bel', 2, {'k"': None})])
+    json_io.write_lines(g, str(tmp_path / "lines"))
+    back = json_io.read_lines(spark, str(tmp_path / "lines"))
+    assert json_io.export_json(back) == json_io.export_json(g)
+    plain = PropertyGraph.of(spark, [(["A"], {'ke"y': 1.5})])
+    assert json.loads(json_io.node_lines(plain.nodes).first()["line"]) == {"id": 1, "labels": ["A"], "properties": {'ke"y': 1.5}}
+    with pytest.raises(Exception, match="NaN"):
+        json_io.node_lines(PropertyGraph.of(spark, [([], {"x": float("inf")})]).nodes).collect()
+
+
+def test_streamed_document_is_the_whole_one(spark, small):
+    for kind in ("export_version", "manifest_version"):
+        assert "".join(json_io.document_parts(small, kind)) == json_io.dumps(json_io.document(small, kind))
+        assert "".join(json_io.document_parts(PropertyGraph.empty(spark), kind)) == json_io.dumps(json_io.document(PropertyGraph.empty(spark), kind))
+    assert json.loads(json_io.plain_json(small))["nodes"][0]["labels"] == ["B", "A"]
+
+
+def python_cell(value):
+    for make in (int, float):
+        try:
+            return make(value)
+        except ValueError:
+            pass
+    return {"true": True, "false": False}.get(value.lower(), value)
+
+
+def test_cells_like_python_reads_them(spark, tmp_path):
+    cells = ["1", " 5", "5 ", "+7", "-3", "1_000", "1__0", "_1", "12d", "3F", "1.", ".5", "1e5", "1E-3", "1_0.5", "inf", "-Infinity", "true", "FALSE", " true", "0x10", "12345678901234567890123", "1.5f", "abc", "1 2", "--1", "1e", "."]
+    rows = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    from pyspark.sql import functions as F
+
+    from latticework.functions import values as V
+
+    got = {r["i"]: V.decode(*r["v"]) for r in rows.select("i", csv_io.coerced(F.col("c")).alias("v")).collect()}
+    for i, c in enumerate(cells):
+        want = python_cell(c)
+        if isinstance(want, int) and not isinstance(want, bool) and abs(want) >= 2**63:
+            want = float(want)
+        assert got[i] == want and type(got[i]) is type(want), c
+
+
+def test_csv_in_file_order_with_known_ends_only(spark, tmp_path):
+    (tmp_path / "n.csv").write_text("id,labels,k\nz, P | Q ,1\na,P,2\nm,,3\n")
+    (tmp_path / "e.csv").write_text("from_id,label,to_id\nz,R,a\na,R,z\n")
+    g = csv_io.read_graph(spark, str(tmp_path / "n.csv"), str(tmp_path / "e.csv"))
+    assert [(n.id, n.labels, n["k"]) for n in g.query_nodes().fetch()] == [(1, ("P", "Q"), 1), (2, ("P",), 2), (3, (), 3)]
+    assert [(e.from_node, e.to_node) for e in g.query_edges().fetch()] == [(1, 2), (2, 1)]
+    (tmp_path / "bad.csv").write_text("from_id,label,to_id\nz,R,a\na,R,nobody\n")
+    with pytest.raises(UsageError, match="nobody"):
+        csv_io.read_graph(spark, str(tmp_path / "n.csv"), str(tmp_path / "bad.csv"))
+
+
+def test_vacuum_commits_what_is_staged(spark, tmp_path):
+    path = str(tmp_path / "v")
+    with GraphStore(spark, path) as s:
+        s.add_node(["P"])
+        s.commit()
+        s.add_node(["Q"])
+        s.vacuum()
+        s.rollback()
+        assert s.graph.node_count() == 2
+    with GraphStore(spark, path) as s:
+        assert s.graph.node_count() == 2 and s.add_node(["P"]) == 3
+
+
+def test_trace_as_text(spark):
+    nodes = [
+        (["Decision"], {"title": "Cache it", "reason": "fast; safe ;", "trace_prompt": " Why a cache? "}),
+        (["Option"], {"title": "Use Redis", "summary": "Known here and quick"}),
+        (["Option"], {"title": "Use files", "rejection_note": " too slow "}),
+        (["Option"], {"name": "Memory"}),
+        (["Incident"], {"title": "Outage", "key_factor": " the big outage "}),
+        (["Rule"], {}),
+        (["File"], {"title": "t", "path": "cache.py"}),
+    ]
+    edges = [(1, "CONSIDERED", 2, {}), (1, "CONSIDERED", 3, {}), (1, "CONSIDERED", 4, {}), (1, "LEARNED_FROM", 5, {}), (1, "CONSTRAINED_BY", 6, {}), (2, "DONE_IN", 7, {})]
+    g = PropertyGraph.of(spark, nodes, edges)
+    got = tools.trace_text(tools.trace(g, 1, 7), mermaid=False)
+    assert got.splitlines() == [
+        "Trace: Why a cache?", "", "Decision found:", "Cache it", "", "Why:", "  ✓ fast", "  ✓ safe", "", "Key factors:", "  ✓ the big outage", "  ✓ Rule #6", "  ✓ Known here", "",
+        "Rejected:", "  ✗ files (too slow)", "  ✗ Memory", "", "Implemented in:", "  cache.py", "", "Path:", "  Cache it", "  → Use Redis", "  → cache.py",
+    ]
+    assert tools.trace_text(tools.trace(g, 7, 1, "X")).splitlines() == ["Trace: (no path found)", "Edge label filter: X", "", "No route under the given constraints."]
+    assert tools.trace_text(tools.trace(g, 2, 7)).splitlines()[-4:] == ["graph LR", '    N2["Option:Use Redis"]', '    N7["File:t"]', "    N2 -->|DONE_IN| N7"]
+
+
+def test_force_keeps_the_old_graph_when_the_new_one_fails(spark, tmp_path):
+    out, text = str(tmp_path / "out"), tmp_path / "broken.json"
+    with GraphStore(spark, out) as s:
+        s.add_node(["P"])
+        s.commit()
+    text.write_text("{}")
+    assert cli.main(["import", str(text), "-o", out, "--force"], spark) == 2
+    with GraphStore(spark, out) as s:
+        assert s.graph.node_count() == 1
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["broken.json", "out"]
