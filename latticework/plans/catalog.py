@@ -8,9 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.functions import values as V
-from latticework.operators import aggregate, diff, events, merge, mutate, subgraph, traverse
-from latticework.operators.graph import find, has_label, incident, induced_edges, neighbours_of
+from latticework.functions.checkpoints import ship
+from latticework.operators import aggregate, diff, events, merge, mutate, subgraph, traverse, views
+from latticework.operators.graph import Edge, Node, PropertyGraph, Query, find, has_label, incident, induced_edges, neighbours_of
+from latticework.sources import json_io
 from latticework.sources import tables as T
+from latticework.streaming import event_stream
 
 Builder = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Builder] = {}
@@ -50,8 +53,14 @@ START = "(SELECT min(id) FROM nodes WHERE kind = 'Customer')"
 
 
 def query(name: str, sql: str | None = None, prelude: str = NODES):
+    """Register a query, and its SQL below ``prelude``; the executors get this package before it runs."""
+
     def add(f: Builder) -> Builder:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship(spark)
+            return f(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             SQL[name] = f"WITH RECURSIVE {prelude.strip()} {sql.strip()}" if not sql.strip().startswith(",") else f"WITH RECURSIVE {prelude.strip()}{sql.strip()}"
         return f
@@ -75,6 +84,21 @@ def first_customer(s, d):
     return nodes(s, d, "Customer").agg(F.min("id").alias("id"))
 
 
+def first_id(s, d) -> int:
+    return first_customer(s, d).first()["id"]
+
+
+def frame(s, rows, schema):
+    """A result that the driver holds already, as a DataFrame."""
+    return s.createDataFrame(list(rows), schema)
+
+
+def ranked_rows(df, columns):
+    """Rows of a small ordered result with their places from 1."""
+    rows = [tuple(x[c] for c in columns) for x in df.collect()]
+    return [(*x, i) for i, x in enumerate(rows, 1)]
+
+
 # scans and the query builder
 @query("nodes_all", f"SELECT id, {LABELS} AS labels, name FROM nodes")
 def _(s, d):
@@ -86,24 +110,30 @@ def _(s, d):
     return edges(s, d).select("id", "src", "dst", "label")
 
 
-@query("node_records", f"SELECT id, {LABELS} AS labels, name, acctbal, segment, size FROM nodes WHERE kind IN ('Customer', 'Supplier', 'Part')")
+@query("node_records", f"SELECT id, {LABELS} AS labels, name, acctbal, segment, brand, size, coalesce(price, NULL) AS price, status FROM nodes")
 def _(s, d):
-    return nodes(s, d, "Customer", "Supplier", "Part").select("id", labels_text(), V.prop_str("name").alias("name"), V.prop_float("acctbal").alias("acctbal"), V.prop_str("segment").alias("segment"), V.prop_int("size").alias("size"))
+    rows = T.commerce(s, d).node_records(["name", "acctbal", "segment", "brand", "size", "retailprice", "totalprice", "status"])
+    price = F.coalesce("retailprice", "totalprice").cast("double").alias("price")
+    return rows.select("id", labels_text(), "name", F.col("acctbal").cast("double").alias("acctbal"), "segment", "brand", F.col("size").cast("long").alias("size"), price, "status")
 
 
-@query("edge_records", "SELECT id, label, src AS from_node, dst AS to_node, l_quantity AS quantity FROM edges JOIN lines ON id = 500000000000000 + line")
+@query("edge_records", "SELECT id, label, src AS from_node, dst AS to_node, CASE WHEN label = 'CONTAINS' THEN l_quantity END AS quantity FROM edges LEFT JOIN lines ON id = 500000000000000 + line")
 def _(s, d):
-    return edges(s, d, "CONTAINS").select("id", "label", F.col("src").alias("from_node"), F.col("dst").alias("to_node"), V.prop_float("quantity").alias("quantity"))
+    return T.commerce(s, d).edge_records(["quantity"]).withColumn("quantity", F.col("quantity").cast("double"))
 
 
 @query("node_by_id", f"SELECT id, {LABELS} AS labels, name FROM nodes WHERE id = 30000000011")
 def _(s, d):
-    return T.commerce_node(s, d, 30000000011).select("id", labels_text(), V.prop_str("name").alias("name"))
+    n = T.commerce_around(s, d, 30000000011).get_node(30000000011)
+    return frame(s, [(n.id, ",".join(n.labels), n["name"])] if n else [], "id long, labels string, name string")
 
 
-@query("edge_by_id", "SELECT id, src, dst, label FROM edges WHERE id = 400000000000007")
+@query("edge_by_id", "SELECT id, src, dst, label FROM edges WHERE id IN (400000000000007, 100000000000003, (SELECT min(id) FROM edges WHERE label = 'SUPPLIED_BY'))")
 def _(s, d):
-    return edges(s, d).filter("id = 400000000000007").select("id", "src", "dst", "label")
+    """Each looked up in its own table, by its key; the last by its order."""
+    order = T.read(s, d, "lineitem").agg(F.min("l_orderkey")).first()[0]
+    found = [PropertyGraph(nodes(s, d, "Region"), T.commerce_edge(s, d, i)).get_edge(i) for i in (400000000000007, 100000000000003, 600000000000001 + order * 10000)]
+    return frame(s, [(e.id, e.from_node, e.to_node, e.label) for e in found if e], "id long, src long, dst long, label string")
 
 
 @query("label_scan_single", "SELECT id, name FROM nodes WHERE kind = 'Supplier'")
@@ -118,7 +148,7 @@ def _(s, d):
 
 @query("edge_label_in", "SELECT id, src, dst, label FROM edges WHERE label IN ('PART_OF', 'PLACED')")
 def _(s, d):
-    return edges(s, d).filter(F.col("label").isin("PART_OF", "PLACED")).select("id", "src", "dst", "label")
+    return T.commerce(s, d).query_edges().label("PART_OF").label("PLACED").dataframe().select("id", "src", "dst", "label")
 
 
 @query("where_compound", "SELECT id, name, acctbal FROM nodes WHERE kind = 'Customer' AND acctbal >= 5000 AND segment = 'BUILDING'")
@@ -134,26 +164,23 @@ def _(s, d):
 
 @query("skip_limit", "SELECT id FROM nodes WHERE kind = 'Part' ORDER BY id LIMIT 25 OFFSET 40")
 def _(s, d):
-    from latticework.operators.graph import Query
-
     return Query(nodes(s, d), True).label("Part").skip(40).limit(25).dataframe().select("id")
 
 
 @query("count_sliced", "SELECT count(*) AS n FROM (SELECT id FROM nodes WHERE kind = 'Part' ORDER BY id LIMIT 25 OFFSET 190)")
 def _(s, d):
-    from latticework.operators.graph import Query
-
-    return Query(nodes(s, d, "Part"), True).label("Part").skip(190).limit(25).dataframe().agg(F.count(F.lit(1)).alias("n"))
+    return frame(s, [(Query(nodes(s, d, "Part"), True).label("Part").skip(190).limit(25).count(),)], "n long")
 
 
 @query("exists", "SELECT count(*) > 0 AS found FROM nodes WHERE kind = 'Customer' AND segment = 'MACHINERY'")
 def _(s, d):
-    return nodes(s, d, "Customer").filter(V.prop_str("segment") == "MACHINERY").limit(1).agg((F.count(F.lit(1)) > 0).alias("found"))
+    return frame(s, [(Query(nodes(s, d), True).label("Customer").where_(V.prop_str("segment") == "MACHINERY").exists(),)], "found boolean")
 
 
 @query("find_page", "SELECT id, name FROM nodes WHERE kind = 'Customer' AND segment = 'AUTOMOBILE' ORDER BY id LIMIT 20 OFFSET 5")
 def _(s, d):
-    return find(nodes(s, d, "Customer"), {"segment": "AUTOMOBILE"}, "Party").orderBy("id").offset(5).limit(20).select("id", V.prop_str("name").alias("name"))
+    page = T.commerce(s, d).find_page({"segment": "AUTOMOBILE"}, "Party", cursor=5, limit=20)
+    return frame(s, [(n.id, n["name"]) for n in page["nodes"]], "id long, name string")
 
 
 @query("find_number", "SELECT id FROM nodes WHERE kind = 'Part' AND size = 15")
@@ -161,62 +188,55 @@ def _(s, d):
     return find(nodes(s, d, "Part"), {"size": 15.0}).select("id")
 
 
-@query("text_search", "SELECT 20000000001 + conv_id * 10000 + turn AS id FROM conversations WHERE contains(lower(text), 'the') OR contains(lower(role), 'sys')", "one AS (SELECT 1)")
+@query("text_search", "SELECT 20000000001 + conv_id * 10000 + turn AS id FROM conversations WHERE contains(lower(text), 'the') OR contains(lower(role), 'the')", "one AS (SELECT 1)")
 def _(s, d):
-    g = T.conversation_graph(s, d)
-    hit = lambda k, w: F.coalesce(F.lower(V.prop_str(k)).contains(w), F.lit(False))
-    return g.nodes.filter(hit("text", "the") | hit("role", "sys")).select("id")
+    return views.text_search(T.conversation_graph(s, d).nodes, "The").select("id")
 
 
-@query("find_by_key", "SELECT min(id) AS id FROM nodes WHERE kind = 'Nation' AND name = 'FRANCE'")
+@query("find_by_key", "SELECT min(user_id) + 10000000001 AS id FROM events", "one AS (SELECT 1)")
 def _(s, d):
-    return nodes(s, d).filter(has_label(["Nation"]) & (V.prop_str("name") == "FRANCE")).agg(F.min("id").alias("id"))
+    first = T.read(s, d, "events").agg(F.min("user_id")).first()[0]
+    found = T.event_graph(s, d).find_by_key("Actor", f"user:{first}")
+    return frame(s, [(found.id,)], "id long")
 
 
 # adjacency
 @query("out_edges", f"SELECT id, dst, label, row_number() OVER (ORDER BY id DESC) AS rank FROM edges WHERE src = {START}")
 def _(s, d):
-    own = edges(s, d).join(first_customer(s, d).withColumnRenamed("id", "src"), "src", "left_semi")
-    from pyspark.sql import Window
-
-    return own.select("id", "dst", "label", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("id"))).cast("long").alias("rank"))
+    start = first_id(s, d)
+    return frame(s, ranked_rows(T.commerce_around(s, d, start).out_edges(start), ("id", "dst", "label")), "id long, dst long, label string, rank long")
 
 
 @query("in_edges", "SELECT id, src, label, row_number() OVER (ORDER BY id DESC) AS rank FROM edges WHERE dst = 20000000004")
 def _(s, d):
-    from pyspark.sql import Window
+    found = T.commerce_around(s, d, 20000000004).in_edges(20000000004)
+    return frame(s, ranked_rows(found, ("id", "src", "label")), "id long, src long, label string, rank long")
 
-    return edges(s, d).filter("dst = 20000000004").select("id", "src", "label", F.row_number().over(Window.partitionBy("dst").orderBy(F.desc("id"))).cast("long").alias("rank"))
 
-
-@query("neighbors_out", "SELECT src AS centre, dst AS id, row_number() OVER (PARTITION BY src ORDER BY edges.id DESC) AS rank FROM edges WHERE label = 'SUPPLIED_BY'")
+@query("neighbors_out", "SELECT src AS centre, dst AS id, row_number() OVER (PARTITION BY src ORDER BY edges.id DESC) AS rank FROM edges")
 def _(s, d):
-    return neighbours_of(nodes(s, d, "Supplier"), edges(s, d, "SUPPLIED_BY"), F.lit(True), "out").select("centre", "id", F.col("rank").cast("long").alias("rank"))
+    return neighbours_of(nodes(s, d), edges(s, d), F.lit(True), "out").select("centre", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("neighbors_in", "SELECT dst AS centre, src AS id, row_number() OVER (PARTITION BY dst ORDER BY edges.id DESC) AS rank FROM edges WHERE label = 'IN_NATION'")
+@query("neighbors_in", "SELECT dst AS centre, src AS id, row_number() OVER (PARTITION BY dst ORDER BY edges.id DESC) AS rank FROM edges")
 def _(s, d):
-    return neighbours_of(nodes(s, d, "Customer", "Supplier"), edges(s, d, "IN_NATION"), F.lit(True), "in").select("centre", "id", F.col("rank").cast("long").alias("rank"))
+    return neighbours_of(nodes(s, d), edges(s, d), F.lit(True), "in").select("centre", "id", F.col("rank").cast("long").alias("rank"))
 
 
 @query(
     "neighbors_both",
-    """, sides AS (SELECT src AS centre, dst AS id, 0 AS side, id AS edge FROM edges WHERE label IN ('CONTAINS', 'SUPPLIED_BY') UNION ALL SELECT dst, src, 1, id FROM edges WHERE label IN ('CONTAINS', 'SUPPLIED_BY')),
+    """, sides AS (SELECT src AS centre, dst AS id, 0 AS side, id AS edge FROM edges UNION ALL SELECT dst, src, 1, id FROM edges),
     firsts AS (SELECT centre, id, side, edge, row_number() OVER (PARTITION BY centre, id ORDER BY side, edge DESC) AS k FROM sides)
     SELECT centre, id, row_number() OVER (PARTITION BY centre ORDER BY side, edge DESC) AS rank FROM firsts WHERE k = 1""",
 )
 def _(s, d):
-    return neighbours_of(nodes(s, d, "Order", "Part", "Supplier"), edges(s, d, "CONTAINS", "SUPPLIED_BY"), F.lit(True), "both").select("centre", "id", F.col("rank").cast("long").alias("rank"))
-
-
-@query("edges_between", "SELECT id, src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE id % 3 = 0) AND dst IN (SELECT id FROM nodes WHERE id % 3 = 0)")
-def _(s, d):
-    return induced_edges(edges(s, d), nodes(s, d).filter("id % 3 = 0")).select("id", "src", "dst")
+    return neighbours_of(nodes(s, d), edges(s, d), F.lit(True), "both").select("centre", "id", F.col("rank").cast("long").alias("rank"))
 
 
-@query("edges_between_labels", "SELECT id, src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE kind IN ('Order', 'Part', 'Supplier')) AND dst IN (SELECT id FROM nodes WHERE kind IN ('Order', 'Part', 'Supplier'))")
+@query("edges_between", "SELECT id, src, dst FROM edges WHERE src IN (SELECT id FROM nodes WHERE kind IN ('Order', 'Part', 'Supplier')) AND dst IN (SELECT id FROM nodes WHERE kind IN ('Order', 'Part', 'Supplier'))")
 def _(s, d):
-    return induced_edges(edges(s, d), nodes(s, d).filter(has_label(["Order", "Part", "Supplier"]))).select("id", "src", "dst")
+    g = T.commerce(s, d)
+    return g.edges_between(g.scan_nodes(["Order", "Part", "Supplier"])).select("id", "src", "dst")
 
 
 @query("two_hop", "SELECT a.src AS customer, b.dst AS part, count(*) AS n FROM edges a JOIN edges b ON a.dst = b.src WHERE a.label = 'PLACED' AND b.label = 'CONTAINS' GROUP BY 1, 2")
@@ -253,9 +273,7 @@ reached AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)"""
 
 
 def walked(s, d, depth):
-    from latticework.functions.checkpoints import cut
-
-    return traverse.bfs_from(cut(edges(s, d).select("id", "src", "dst")), first_customer(s, d).withColumnRenamed("id", "start"), depth)
+    return traverse.bfs_from(edges(s, d), first_customer(s, d).withColumnRenamed("id", "start"), depth)
 
 
 @query("bfs_depths", BFS.format(start=START, depth=5) + " SELECT id, depth FROM reached WHERE depth > 0")
@@ -277,18 +295,18 @@ def _(s, d):
 
 @query("bfs_depth_hist", BFS.format(start=START, depth=4) + " SELECT depth, count(*) AS n FROM reached WHERE depth > 0 GROUP BY depth")
 def _(s, d):
-    return walked(s, d, 4).filter("depth > 0").groupBy("depth").agg(F.count(F.lit(1)).alias("n"))
+    return traverse.depth_histogram(T.commerce(s, d), first_customer(s, d).withColumnRenamed("id", "start"), 4).select("depth", "n")
 
 
 @query("explore_edges", BFS.format(start=START, depth=2) + " SELECT e.id, e.src, e.dst, e.label FROM edges e WHERE e.src IN (SELECT id FROM reached) AND e.dst IN (SELECT id FROM reached)")
 def _(s, d):
-    return induced_edges(edges(s, d), walked(s, d, 2).select("id")).select("id", "src", "dst", "label")
+    return views.bfs_tree(T.commerce(s, d), first_id(s, d), 2)[1].select("id", "src", "dst", "label")
 
 
 @query("shortest_path", BFS.format(start=START, depth=4) + ", goal AS (SELECT min(id) AS id FROM reached WHERE depth = 3) SELECT depth AS hops FROM reached WHERE id = (SELECT id FROM goal)")
 def _(s, d):
-    found = walked(s, d, 4)
-    return found.filter("depth = 3").groupBy("depth").agg(F.min("id")).select(F.col("depth").alias("hops"))
+    goal = walked(s, d, 3).filter("depth = 3").agg(F.min("id")).first()[0]
+    return traverse.shortest_path(T.commerce(s, d), first_id(s, d), goal).agg((F.count(F.lit(1)) - 1).cast("int").alias("hops"))
 
 
 @query(
@@ -297,10 +315,8 @@ def _(s, d):
     SELECT 0 AS pos, id FROM d0 UNION ALL SELECT 1, d1.id FROM d1 JOIN goal ON d1.rank = goal.r UNION ALL SELECT 2, id FROM goal""",
 )
 def _(s, d):
-    found = walked(s, d, 2)
-    end = found.filter("depth = 2").groupBy("depth").agg(F.min("id").alias("id")).join(found.select("id", "parent"), "id")
-    mid = end.select(F.lit(1).alias("pos"), F.col("parent").alias("id"))
-    return found.filter("depth = 0").select(F.lit(0).alias("pos"), "id").union(mid).union(end.select(F.lit(2).alias("pos"), "id"))
+    goal = walked(s, d, 2).filter("depth = 2").agg(F.min("id")).first()[0]
+    return traverse.shortest_path(T.commerce(s, d), first_id(s, d), goal)
 
 
 @query(
@@ -308,18 +324,10 @@ def _(s, d):
     """, walk AS (SELECT 60000000008 AS id, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 3 AND e.label = 'CONTAINS') SELECT id, min(depth) AS depth FROM walk GROUP BY id""",
 )
 def _(s, d):
-    from latticework.functions.checkpoints import cut
+    return traverse.bfs_from(edges(s, d, "CONTAINS"), s.createDataFrame([(60000000008,)], "start long"), 3).select("id", "depth")
 
-    return traverse.bfs_from(cut(edges(s, d, "CONTAINS")), s.createDataFrame([(60000000008,)], "start long"), 3).select("id", "depth")
 
-
-@query("hop_labels", "SELECT src, dst, max_by(label, id) AS label FROM edges WHERE src IN (SELECT id FROM nodes WHERE kind = 'Order' AND id % 10 = 1) GROUP BY 1, 2")
-def _(s, d):
-    own = edges(s, d).filter("src >= 60000000001 and src < 70000000001 and src % 10 = 1")
-    return own.groupBy("src", "dst").agg(F.max_by("label", "id").alias("label"))
-
-
-@query("hop_labels_all", "SELECT src, dst, max_by(label, id) AS label FROM edges GROUP BY 1, 2")
+@query("hop_labels", "SELECT src, dst, max_by(label, id) AS label FROM edges GROUP BY 1, 2")
 def _(s, d):
     own = edges(s, d)
     return traverse.labelled(own, own.select("src", "dst").distinct())
@@ -327,63 +335,61 @@ def _(s, d):
 
 @query("reasoning_branches", f"SELECT e.label, e.dst AS to_node, {LABELS} AS labels, n.name FROM edges e JOIN nodes n ON n.id = e.dst WHERE e.src = {START}")
 def _(s, d):
-    out = edges(s, d).join(first_customer(s, d).withColumnRenamed("id", "src"), "src", "left_semi").select("label", F.col("dst").alias("id"))
-    return out.join(nodes(s, d), "id").select("label", F.col("id").alias("to_node"), labels_text(), V.prop_str("name").alias("name"))
+    start = first_id(s, d)
+    g = PropertyGraph(nodes(s, d), T.commerce_around(s, d, start).edges)
+    return traverse.branches(g, start).select("label", "to_node", labels_text(), V.prop_str("name").alias("name"))
 
 
 @query(
     "multi_source_hops",
-    """, starts AS (SELECT id FROM nodes WHERE kind = 'Supplier' AND id % 5 = 0),
-    walk AS (SELECT id AS start, id, 0 AS depth FROM starts UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 3)
+    """, walk AS (SELECT id AS start, id, 0 AS depth FROM nodes WHERE kind = 'Supplier' UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 3)
     SELECT start, id, min(depth) AS depth FROM walk GROUP BY 1, 2""",
 )
 def _(s, d):
-    from latticework.functions.checkpoints import cut
+    return traverse.bfs_from(edges(s, d), nodes(s, d, "Supplier").select(F.col("id").alias("start")), 3).select("start", "id", "depth")
 
-    starts = nodes(s, d, "Supplier").filter("id % 5 = 0").select(F.col("id").alias("start"))
-    return traverse.bfs_from(cut(edges(s, d)), starts, 3).select("start", "id", "depth")
 
-
-@query(
-    "multi_source_hops_all",
-    """, walk AS (SELECT id AS start, id, 0 AS depth FROM nodes WHERE kind = 'Supplier' UNION SELECT w.start, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id WHERE w.depth < 3)
-    SELECT start, id, min(depth) AS depth FROM walk GROUP BY 1, 2""",
-)
+@query("bfs_ancestors", """, walk AS (SELECT 10000000002 AS id, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < 4) SELECT id, min(depth) AS depth FROM walk GROUP BY id""")
 def _(s, d):
-    from latticework.functions.checkpoints import cut
+    back = edges(s, d).select("id", F.col("dst").alias("src"), F.col("src").alias("dst"))
+    return traverse.bfs_from(back, s.createDataFrame([(10000000002,)], "start long"), 4).select("id", "depth")
 
-    return traverse.bfs_from(cut(edges(s, d)), nodes(s, d, "Supplier").select(F.col("id").alias("start")), 3).select("start", "id", "depth")
 
+DFS = """, rev AS (SELECT id, dst AS src, src AS dst FROM edges WHERE label IN ('PART_OF', 'IN_NATION')),
+adj AS (SELECT src, list(dst ORDER BY id DESC) AS outs FROM rev GROUP BY src),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS rank, 10000000002 AS id, 0 AS depth, CAST([] AS STRUCT(n BIGINT, d INTEGER)[]) AS stack, [CAST(10000000002 AS BIGINT)] AS seen
+  UNION ALL
+  SELECT rank + 1, all_[len(all_)].n, all_[len(all_)].d, all_[:len(all_) - 1], seen_
+  FROM (SELECT w.rank, list_concat(w.stack, list_transform(p.new, lambda x: {{'n': x, 'd': w.depth + 1}})) AS all_, list_concat(w.seen, p.new) AS seen_
+    FROM walk w JOIN LATERAL (SELECT CASE WHEN w.depth < 2 THEN list_filter(coalesce((SELECT outs FROM adj WHERE src = w.id), []), lambda x: NOT list_contains(w.seen, x)) ELSE [] END AS new) p ON TRUE)
+  WHERE len(all_) > 0)""".replace("{{", "{").replace("}}", "}")
 
-@query("bfs_ancestors", """, walk AS (SELECT 10000000002 AS id, 0 AS depth UNION SELECT e.src, w.depth + 1 FROM walk w JOIN edges e ON e.dst = w.id WHERE w.depth < 2) SELECT id, min(depth) AS depth FROM walk GROUP BY id""")
-def _(s, d):
-    from latticework.functions.checkpoints import cut
 
+@query("dfs", DFS + " SELECT rank, id, depth FROM walk WHERE rank > 0")
+def _(s, d):
+    """From a region down to nations and the parties in them."""
     back = edges(s, d, "PART_OF", "IN_NATION").select("id", F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return traverse.bfs_from(cut(back), s.createDataFrame([(10000000002,)], "start long"), 2).select("id", "depth")
+    return traverse.dfs(PropertyGraph(nodes(s, d), back), 10000000002, 2)
 
 
-@query("dfs")
+@query("dfs_deep")
 def _(s, d):
-    from latticework.functions.checkpoints import cut
-    from latticework.operators.graph import PropertyGraph
+    return traverse.dfs(T.commerce(s, d), first_id(s, d), 4)
 
-    g = PropertyGraph(nodes(s, d), cut(edges(s, d)))
-    return traverse.dfs(g, first_customer(s, d).first()["id"], 4)
 
-
-PR_STEP = """, r{i} AS (SELECT n.id, 0.15 / (SELECT count(*) FROM pn) + 0.85 * (coalesce(g.g, 0) + (SELECT coalesce(sum(r.rank), 0) FROM r{j} r WHERE r.id NOT IN (SELECT src FROM deg)) / (SELECT count(*) FROM pn)) AS rank
-FROM pn n LEFT JOIN (SELECT l.dst AS id, sum(r.rank / deg.n) AS g FROM links l JOIN r{j} r ON r.id = l.src JOIN deg ON deg.src = l.src GROUP BY l.dst) g ON g.id = n.id)"""
+PR_STEP = """, r{i} AS MATERIALIZED (SELECT n.id, (SELECT 0.15 / k FROM size) + 0.85 * (coalesce(g.g, 0) + (SELECT coalesce(sum(r.rank), 0) / (SELECT k FROM size) FROM r{j} r WHERE r.id NOT IN (SELECT src FROM deg))) AS rank
+FROM nodes n LEFT JOIN (SELECT l.dst AS id, sum(r.rank / deg.n) AS g FROM links l JOIN r{j} r ON r.id = l.src JOIN deg ON deg.src = l.src GROUP BY l.dst) g ON g.id = n.id)"""
 
 
 @query(
     "pagerank",
-    ", pn AS (SELECT id FROM nodes WHERE kind IN ('Nation', 'Region', 'Customer', 'Supplier')), links AS (SELECT DISTINCT src, dst FROM edges WHERE label IN ('PART_OF', 'IN_NATION')), deg AS (SELECT src, count(*) AS n FROM links GROUP BY src), r0 AS (SELECT id, 1.0 / (SELECT count(*) FROM pn) AS rank FROM pn)"
-    + "".join(PR_STEP.format(i=i, j=i - 1) for i in (1, 2, 3))
-    + " SELECT id, round(rank, 6) AS rank FROM r3",
+    ", links AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges), deg AS MATERIALIZED (SELECT src, count(*) AS n FROM links GROUP BY src), size AS MATERIALIZED (SELECT count(*) AS k FROM nodes), r0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT k FROM size) AS rank FROM nodes)"
+    + "".join(PR_STEP.format(i=i, j=i - 1) for i in range(1, 51))
+    + " SELECT id, round(rank, 9) AS rank FROM r50",
 )
 def _(s, d):
-    return traverse.pagerank(nodes(s, d, "Nation", "Region", "Customer", "Supplier"), edges(s, d, "PART_OF", "IN_NATION"), 3).select("id", F.round("rank", 6).alias("rank"))
+    return traverse.pagerank(nodes(s, d), edges(s, d)).select("id", F.round("rank", 9).alias("rank"))
 
 
 # aggregation
@@ -444,7 +450,8 @@ def _(s, d):
 
 @query("graph_stats", "SELECT (SELECT count(*) FROM nodes) AS node_count, (SELECT count(*) FROM edges) AS edge_count")
 def _(s, d):
-    return nodes(s, d).agg(F.count(F.lit(1)).alias("node_count")).join(F.broadcast(edges(s, d).agg(F.count(F.lit(1)).alias("edge_count"))))
+    g = T.commerce(s, d)
+    return frame(s, [(g.node_count(), g.edge_count())], "node_count long, edge_count long")
 
 
 # diff
@@ -550,9 +557,8 @@ def _(s, d):
     PARTIES,
 )
 def _(s, d):
-    r = merged(s, d, "keep_dst", "idempotent")
-    count = lambda df, a, b: df.agg(F.count_if("created").alias(a), F.count_if(~F.col("created")).alias(b))
-    return count(r.node_map, "nodes_created", "nodes_reused").join(F.broadcast(count(r.edge_map, "edges_created", "edges_reused")))
+    report = merged(s, d, "keep_dst", "idempotent").report()
+    return frame(s, [tuple(report[k] for k in ("nodes_created", "nodes_reused", "edges_created", "edges_reused"))], "nodes_created long, nodes_reused long, edges_created long, edges_reused long")
 
 
 @query("merge_node_map", MERGED + " SELECT src_id, dst_id, created FROM map", PARTIES)
@@ -620,34 +626,45 @@ def _(s, d):
 
 @query(
     "merge_edge",
-    """, wanted AS (SELECT id, src, dst, 'SUPPLIED_BY' AS label FROM edges WHERE label = 'SUPPLIED_BY' UNION ALL SELECT id + 1000000000000000, src, dst, 'OFFERED_BY' FROM edges WHERE label = 'SUPPLIED_BY' AND id % 2 = 0)
-    SELECT w.src, w.dst, w.label, max(CASE WHEN w.label = 'SUPPLIED_BY' THEN w.id END) AS edge, count(*) AS n FROM wanted w GROUP BY 1, 2, 3""",
+    """, props AS (SELECT e.*, CASE WHEN label = 'CONTAINS' THEN l_quantity END AS q FROM edges e LEFT JOIN lines ON id = 500000000000000 + line),
+    wanted AS (SELECT id, src, dst, label, q FROM props UNION ALL SELECT id + 1000000000000000, src, dst, 'SAME_AS_' || label, q FROM props)
+    SELECT w.src, w.dst, w.label, w.q, max(CASE WHEN w.label NOT LIKE 'SAME_AS_%' THEN w.id END) AS edge, count(*) AS n FROM wanted w GROUP BY 1, 2, 3, 4""",
 )
 def _(s, d):
-    own = edges(s, d, "SUPPLIED_BY")
-    more = own.filter("id % 2 = 0").select((F.col("id") + 10**15).alias("id"), "src", "dst", F.lit("OFFERED_BY").alias("label"), "props")
+    own = edges(s, d)
+    more = own.select((F.col("id") + 10**15).alias("id"), "src", "dst", F.concat(F.lit("SAME_AS_"), "label").alias("label"), "props")
     wanted = own.unionByName(more)
     _, answer = mutate.merge_edges(own, wanted, 10**16)
-    joined = answer.join(wanted.select("id", "src", "dst", "label"), "id")
-    return joined.groupBy("src", "dst", "label").agg(F.max(F.when(F.col("label") == "SUPPLIED_BY", F.col("edge"))).alias("edge"), F.count(F.lit(1)).alias("n"))
+    joined = answer.join(wanted.select("id", "src", "dst", "label", V.prop_float("quantity").alias("q")), "id")
+    old = F.when(~F.col("label").startswith("SAME_AS_"), F.col("edge"))
+    return joined.groupBy("src", "dst", "label", "q").agg(F.max(old).alias("edge"), F.count(F.lit(1)).alias("n"))
 
 
-@query("mermaid_lines", "SELECT id, 'N' || id || '[\"' || kind || ': ' || name || '\"]' AS line FROM nodes WHERE kind IN ('Region', 'Nation') UNION ALL SELECT id, 'N' || src || ' -->|' || label || '| N' || dst FROM edges WHERE label = 'PART_OF'")
+@query("mermaid_lines", f"SELECT id, 'N' || id || '[\"' || replace({LABELS}, ',', '/') || coalesce(':' || name, '') || '\"]' AS line FROM nodes UNION ALL SELECT id, 'N' || src || ' -->|' || label || '| N' || dst FROM edges")
 def _(s, d):
-    return subgraph.mermaid_lines(nodes(s, d, "Region", "Nation"), edges(s, d, "PART_OF")).select("id", "line")
+    return subgraph.mermaid_lines(nodes(s, d), edges(s, d)).select("id", "line")
+
 
+JSON_TEXT = "'\"' || replace({0}, '\"', '\\\"') || '\"'"
+PROPS_TEXT = """CASE kind WHEN 'Region' THEN '{"name":' || @name || '}' WHEN 'Nation' THEN '{"name":' || @name || '}'
+WHEN 'Customer' THEN '{"acctbal":' || acctbal || ',"name":' || @name || ',"segment":"' || segment || '"}' WHEN 'Supplier' THEN '{"acctbal":' || acctbal || ',"name":' || @name || '}'
+WHEN 'Part' THEN '{"brand":"' || brand || '","name":' || @name || ',"retailprice":' || price || ',"size":' || size || '}'
+ELSE '{"priority":"' || (SELECT o_orderpriority FROM orders WHERE o_orderkey = (id - 1) % 10000000000) || '","status":"' || status || '","totalprice":' || price || '}' END""".replace("@name", JSON_TEXT.format("name"))
+SORTED_LABELS = "CASE kind WHEN 'Customer' THEN '[\"Customer\",\"Party\"]' WHEN 'Supplier' THEN '[\"Party\",\"Supplier\"]' ELSE '[\"' || kind || '\"]' END"
 
-@query("manifest_lines", "SELECT id, '{\"id\":' || id || ',\"labels\":[\"' || kind || '\"],\"properties\":{\"name\":\"' || name || '\"}}' AS line FROM nodes WHERE kind IN ('Region', 'Nation')")
+
+@query("manifest_lines", f"SELECT id, '{{\"id\":' || id || ',\"labels\":' || {SORTED_LABELS} || ',\"properties\":' || {PROPS_TEXT} || '}}' AS line FROM nodes")
 def _(s, d):
-    from latticework.sources.json_io import node_lines
+    return json_io.node_lines(nodes(s, d))
+
 
-    return node_lines(nodes(s, d, "Region", "Nation"))
+@query("edge_lines", "SELECT id, '{\"from_node\":' || src || ',\"id\":' || id || ',\"label\":\"' || label || '\",\"properties\":{' || CASE WHEN label = 'CONTAINS' THEN '\"quantity\":' || l_quantity ELSE '' END || '},\"to_node\":' || dst || '}' AS line FROM edges LEFT JOIN lines ON id = 500000000000000 + line")
+def _(s, d):
+    return json_io.edge_lines(edges(s, d))
 
 
 @query("dangling_check", "SELECT id, 'dst' AS side FROM edges WHERE dst NOT IN (SELECT id FROM nodes WHERE kind <> 'Region') UNION ALL SELECT id, 'src' FROM edges WHERE src NOT IN (SELECT id FROM nodes WHERE kind <> 'Region')")
 def _(s, d):
-    from latticework.operators.graph import PropertyGraph
-
     g = PropertyGraph(nodes(s, d, "Nation", "Customer", "Supplier", "Part", "Order"), edges(s, d))
     return subgraph.dangling(g)
 
@@ -674,12 +691,22 @@ def _(s, d):
     return old.select(V.prop_str("key").alias("key"), F.lit(0).alias("created")).union(made.select(V.prop_str("key"), F.lit(1)))
 
 
-@query("append_events_batch", "SELECT event_type, count(*) AS n FROM events WHERE event_id % 3 <> 0 GROUP BY event_type", "one AS (SELECT 1)")
+@query("append_events_batch", f"SELECT 'event:' || lpad(CAST(event_id AS VARCHAR), 6, '0') AS event_id, event_type AS operation, {STAMP} AS timestamp, 'user:' || user_id AS actor FROM events", "one AS (SELECT 1)")
 def _(s, d):
-    log = T.event_graph(s, d).nodes.filter(has_label(["Event"]))
-    number = F.substring_index(V.prop_str("event_id"), ":", -1).cast("long")
-    new = events.unseen(log.filter(number % 3 == 0), log.select(V.prop_str("event_id").alias("event_id"), V.prop_str("operation").alias("event_type")))
-    return new.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    """A third of the events and their actors, after a batch of all events has been appended."""
+    g = T.event_graph(s, d)
+    some = g.nodes.filter(has_label(["Event"]) & (F.substring_index(V.prop_str("event_id"), ":", -1).cast("long") % 3 == 0))
+    authored = g.edges.filter("label = 'AUTHORED'").join(some.select(F.col("id").alias("dst")), "dst", "left_semi").select(*g.edges.columns)
+    actors = g.nodes.join(authored.select(F.col("src").alias("id")), "id", "left_semi")
+    key = lambda head, c: F.concat(F.lit(head), c)
+    batch = T.read(s, d, "events").select(
+        key("event:", F.lpad(F.col("event_id").cast("string"), 6, "0")).alias("event_id"), key("user:", F.col("user_id").cast("string")).alias("actor"),
+        F.col("event_type").alias("operation"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("timestamp"),
+    )
+    after = event_stream.staged(PropertyGraph(some.unionByName(actors), authored), batch)
+    of = after.edges.select(F.col("src").alias("a"), F.col("dst").alias("id")).join(after.nodes.select(F.col("id").alias("a"), V.prop_str("key").alias("actor")), "a")
+    log = after.nodes.filter(has_label(["Event"])).select("id", *[V.prop_str(k).alias(k) for k in ("event_id", "operation", "timestamp")])
+    return log.join(of, "id").select("event_id", "operation", "timestamp", "actor")
 
 
 @query("next_event_id", "SELECT 'event:' || lpad(CAST(max(event_id) + 1 AS VARCHAR), 6, '0') AS event_id FROM events", "one AS (SELECT 1)")
@@ -689,8 +716,8 @@ def _(s, d):
 
 @query("caused_by_links", "SELECT a.event_id AS cause, b.event_id AS effect FROM (SELECT event_id, lead(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events) a JOIN events b ON b.event_id = a.nxt", "one AS (SELECT 1)")
 def _(s, d):
-    g = T.event_graph(s, d)
-    return g.edges.filter("label = 'NEXT'").select((F.col("src") - 20000000001).alias("cause"), (F.col("dst") - 20000000001).alias("effect"))
+    rows = T.read(s, d, "events").select(F.col("user_id").alias("actor"), "event_id", F.col("ts").alias("timestamp"))
+    return events.previous_events(rows).filter("previous is not null").select(F.col("previous").alias("cause"), F.col("event_id").alias("effect"))
 
 
 @query("conversation_turns", "SELECT conv_id AS session, count(*) AS turns, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) AS user_turns FROM conversations GROUP BY conv_id", "one AS (SELECT 1)")
@@ -707,8 +734,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Builder]:
+    from latticework.plans import catalog_api  # noqa: F401  registers the queries of whole interfaces
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
