@@ -102,7 +102,8 @@ def apart(rows: DataFrame, by: str) -> DataFrame:
     """Of rows (``by``, root, ...), those of a ``by`` with two roots or more, with its most frequent root as main."""
     parts = rows.groupBy(by, "root").agg(F.count(F.lit(1)).alias("n"))
     mixed = parts.groupBy(by).agg(F.max(F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    return rows.join(mixed.select(by, F.col("main.root").alias("main")), by)
+    # cut off, so that the join has plain shuffles on both sides and a frequent ``by`` can be split
+    return rows.join(cut(mixed.select(by, F.col("main.root").alias("main"))), by)
 
 
 def prefix_pairs(bags_of: DataFrame, facts: DataFrame) -> DataFrame:
@@ -112,6 +113,10 @@ def prefix_pairs(bags_of: DataFrame, facts: DataFrame) -> DataFrame:
     texts share stands at or after the first shingle they share; a pair is
     taken where what is left of both from a shared shingle on is enough.  The
     texts of a shingle's main root meet only those of other roots.
+
+    Both of a pair need 9 * rest >= 4 * (own size + other's size), so the smaller
+    one has a rest of 8/9 of its size: two texts with less never meet, which
+    keeps a family that shares a template, but not enough of it, from pairing.
     """
     held = bags_of.join(bags_of.groupBy("shingle").agg(F.count(F.lit(1)).alias("texts")), "shingle")
     before = F.sum("n").over(Window.partitionBy("key").orderBy("texts", "shingle").rowsBetween(Window.unboundedPreceding, -1))
@@ -119,9 +124,11 @@ def prefix_pairs(bags_of: DataFrame, facts: DataFrame) -> DataFrame:
     left = left.withColumn("rest", F.col("size") - F.col("before")).filter("5 * rest >= 4 * size").select("shingle", "key", "root", "size", "rest")
     open_ = cut(apart(left, "shingle"))
     side = lambda p: open_.select(F.col("shingle").alias(f"{p}h"), F.col("key").alias(f"{p}k"), F.col("root").alias(f"{p}r"), F.col("size").alias(f"{p}s"), F.col("rest").alias(f"{p}c"), F.col("main").alias(f"{p}m"))
-    x, y = side("x").filter("xr != xm"), side("y")
-    near = x.join(y, (F.col("xh") == F.col("yh")) & (F.col("xr") != F.col("yr")) & (9 * F.least("xc", "yc") >= 4 * (F.col("xs") + F.col("ys"))))
-    return near.select(F.least("xk", "yk").alias("a"), F.greatest("xk", "yk").alias("b")).distinct()
+    fits = (F.col("xh") == F.col("yh")) & (F.col("xr") != F.col("yr")) & (9 * F.least("xc", "yc") >= 4 * (F.col("xs") + F.col("ys")))
+    x, y = side("x").filter("9 * xc >= 8 * xs"), side("y")
+    minor = x.filter("xr != xm").join(y, fits)
+    main = x.filter("xr = xm").join(y.filter("yr != ym"), fits)
+    return minor.union(main).select(F.least("xk", "yk").alias("a"), F.greatest("xk", "yk").alias("b")).distinct()
 
 
 def rooted(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +136,7 @@ def rooted(docs: DataFrame, n_bands: int = BANDS, rows: int = ROWS) -> tuple[Dat
     rows_of = cut(signed(docs, n_bands, rows))
     reps = rows_of.groupBy("key").agg(F.min("doc_id").alias("rep_id"), F.first("size").alias("size"), F.first("bands").alias("bands"))
     placed = reps.select("key", "size", "rep_id", F.explode("bands").alias("band"))
-    shared = placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut(placed.groupBy("band").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"))
     inside = cut(placed.join(shared, "band"))
 
     centre = inside.groupBy("key").agg(F.sum("n").alias("central"), F.first("size").alias("size"), F.first("rep_id").alias("rep_id"))

@@ -138,5 +138,37 @@ def test_classes_without_ids_have_names_of_their_own(spark):
     assert sorted(Counter(c for d, c in got if not d).values()) == [1, 1, 2] and max(c for d, c in got if not d) == -5
 
 
+def test_a_family_with_too_small_a_template_is_not_paired(spark, monkeypatch):
+    r = random.Random(6)
+    words = [f"w{i}" for i in range(5000)]
+    base = [r.choice(words) for _ in range(170)]
+    rows = [(i, " ".join(base + [f"u{i}x{k}" for k in range(30)])) for i in range(400)]
+    paired = []
+    plain = near_dedup.prefix_pairs
+    monkeypatch.setattr(near_dedup, "prefix_pairs", lambda *a: paired.append(plain(*a)) or paired[-1])
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert near_dedup.classes(df).select("class_id").distinct().count() == 400
+    assert paired[0].count() == 0
+
+
+def test_every_pair_near_enough_is_found(spark):
+    """Recall by true overlap: of pairs at 0.8 or more, banding may miss few."""
+    r = random.Random(7)
+    rows, pairs = [], []
+    for i in range(300):
+        a = [f"w{r.randrange(4000)}" for _ in range(r.randint(60, 200))]
+        b = list(a)
+        for k in r.sample(range(len(b)), max(1, len(b) // r.randint(40, 80))):
+            b[k] = "other"
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+        x, y = shingles(rows[-2][1]), shingles(rows[-1][1])
+        pairs.append(sum((x & y).values()) / sum((x | y).values()))
+    got = {x["doc_id"]: x["class_id"] for x in near_dedup.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    near = [i for i, o in enumerate(pairs) if o >= 0.8]
+    assert len(near) > 50 and all(got[2 * i] == got[2 * i + 1] for i in near)
+    assert all(got[2 * i] != got[2 * i + 1] for i, o in enumerate(pairs) if o < 0.8)
+
+
 def test_empty(spark):
+    assert near_dedup.stage(spark, spark.createDataFrame([], "doc_id long, text string, lang string"), "").count() == 0
     assert near_dedup.classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
