@@ -11,8 +11,8 @@ computed on the original vectors in double precision.
 Vectors that are null, zero, or hold null or non-finite components take no
 part, nor do rows without vec_id or of another than the most frequent length
 (ties: the smaller length).  Rows with the same vec_id count as one candidate,
-the nearest of them.  Ties go to the smaller vec_id.  An empty table gives no
-rows.
+the nearest of them; a row with the query's own vec_id is none.  Ties go to the
+smaller vec_id.  An empty table gives no rows; other columns play no part.
 """
 
 from __future__ import annotations
@@ -45,6 +45,8 @@ DEGREE = 16
 #: Lists (neighbours by number, and so in space) that a task searches together, and vectors of them in one task.
 SHELF = 16
 SALT_ROWS = 8192
+#: Queries of one part that a task holds, about.
+HEAP_ROWS = 8192
 K = 10
 
 
@@ -170,6 +172,16 @@ def calibrated(sample: np.ndarray, c: Centroids, k: int) -> float:
     return good[0]
 
 
+def sampled(rows: DataFrame, n: int) -> np.ndarray:
+    """Up to ``SAMPLE`` vectors, those with the least hashes; a bound on the hash leaves about twice as many to be sorted."""
+    place = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 40))
+    some = rows.filter(place < F.lit(max(1, min(1 << 40, 2 * SAMPLE * (1 << 40) // n)))) if n > 2 * SAMPLE else rows
+    picked = some.orderBy(place, "vec_id", "v").limit(SAMPLE).select("v").collect()
+    if not picked:  # so few ids that the bound leaves none
+        picked = rows.orderBy(place, "vec_id", "v").limit(SAMPLE).select("v").collect()
+    return np.array([r["v"] for r in picked])
+
+
 def matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
@@ -180,11 +192,10 @@ def search(df: DataFrame, k: int = K, every: int = 100, probe: float | None = No
     rows = usable(df)
     spark = df.sparkSession
     n = rows.count()
-    picked = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").collect()
     schema = "query_id long, rank int, vec_id long, score double"
     if not n:
         return spark.createDataFrame([], schema)
-    sample = np.array([r["v"] for r in picked])
+    sample = sampled(rows, n)
     centroids = build(sample, min(MAX_LISTS, max(1, -(-n // LIST_SIZE))))
     probe = calibrated(sample, centroids, k) if probe is None else probe
 
@@ -218,10 +229,16 @@ def search(df: DataFrame, k: int = K, every: int = 100, probe: float | None = No
                 cols = [pa.array([r[0] for r in rows_of], pa.int32()), pa.array([r[1] for r in rows_of], pa.int32()), part.column(0).take(back), part.column(1).take(back), pa.array([r[3] for r in rows_of], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, ["shelf", "salt", "query_id", "q", "lists"])
 
-    queries = rows.filter(F.col("vec_id") % every == 0).mapInArrow(ask, "shelf int, salt int, query_id long, q array<double>, lists array<int>")
+    queries = stored(rows.filter(F.col("vec_id") % every == 0).mapInArrow(ask, "shelf int, salt int, query_id long, q array<double>, lists array<int>"))
+    # queries of one part of a shelf are searched some at a time, each time with the part's vectors
+    heaps = np.ones(len(shelves), np.int64)
+    for r in queries.filter("salt = 0").groupBy("shelf").count().collect():
+        heaps[r["shelf"]] = -(-r["count"] // HEAP_ROWS)
+    of_shelf = lambda values: F.element_at(F.array(*[F.lit(int(v)) for v in values]), F.col("shelf") + 1)
+    queries = queries.withColumn("heap", F.pmod(F.xxhash64("query_id"), of_shelf(heaps)).cast("int"))
     shelved = postings.withColumn("shelf", F.floor(F.col("list") / SHELF).cast("int"))
-    salt_of = F.pmod(F.xxhash64("vec_id"), F.element_at(F.array(*[F.lit(int(s)) for s in salts]), F.col("shelf") + 1))
-    salted = shelved.withColumn("salt", salt_of.cast("int"))
+    salted = shelved.withColumn("salt", F.pmod(F.xxhash64("vec_id"), of_shelf(salts)).cast("int"))
+    salted = salted.withColumn("heap", F.explode(F.sequence(F.lit(0), of_shelf(heaps - 1).cast("int"))))
 
     def near(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         """The ``k`` nearest of one part of a shelf to each query that asks for lists of it."""
@@ -237,7 +254,7 @@ def search(df: DataFrame, k: int = K, every: int = 100, probe: float | None = No
                 out.append(pd.DataFrame({"query_id": query, "vec_id": ids[at][best], "score": d[best]}))
         return pd.concat(out)
 
-    part = salted.groupBy("shelf", "salt").cogroup(queries.groupBy("shelf", "salt")).applyInPandas(near, "query_id long, vec_id long, score double")
+    part = salted.groupBy("shelf", "salt", "heap").cogroup(queries.groupBy("shelf", "salt", "heap")).applyInPandas(near, "query_id long, vec_id long, score double")
     one = part.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return one.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
