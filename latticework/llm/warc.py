@@ -6,7 +6,8 @@ of their source.  Record ids are made from what they name, so reruns agree.
 
 Null html, url, headers or dates count as empty; a response without text still
 gives both records, the conversion with an empty block.  Repeated rows repeat
-their records.  Blocks are whole, however long.
+their records, an empty table gives none.  Blocks are whole, however long.
+Other columns play no part unless they are carried.
 
 A payload of bytes is kept as it is: source digests are those the source
 gives, or are computed from its bytes, and only the text is decoded.
@@ -92,7 +93,7 @@ def decoded(headers: str, body: bytes) -> str:
                 except zlib.error:
                     continue
     named = re.search(r"charset\s*=\s*[\"']?([\w.:-]+)", kind)
-    meta = re.search(rb"<meta[^>]{0,200}?charset\s*=\s*[\"']?\s*([\w.:-]+)", body[:4096], re.I)
+    meta = re.search(rb"<meta[^>]*?charset\s*=\s*[\"']?\s*([\w.:-]+)", body, re.I)
     names = ["utf-8-sig"] if body.startswith(b"\xef\xbb\xbf") else [named[1]] if named else [meta[1].decode()] if meta else []
     for name in [*names, "utf-8"]:
         try:
@@ -153,15 +154,25 @@ def page_responses(pages: DataFrame, date: str = DATE) -> DataFrame:
     """Responses of a crawl of ``pages``: RESPONSE columns beside the page's id."""
     key = F.sha2(F.concat_ws("\0", F.coalesce(F.col("page_id").cast("string"), F.lit("")), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit(""))), 256)
     rid = F.concat(F.lit("<urn:uuid:"), *[x for i, (a, n) in enumerate(((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) for x in ([F.lit("-")] * (i > 0) + [F.substring(key, a, n)])], F.lit(">"))
-    return pages.select("page_id", rid.alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"), F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n").alias("http_headers"), F.col("html").alias("payload"))
+    length = F.octet_length(F.coalesce("html", F.lit(""))).cast("string")
+    headers = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), length, F.lit("\r\n\r\n"))
+    return pages.select("page_id", rid.alias("record_id"), F.col("url").alias("target_uri"), F.lit(date).alias("warc_date"), headers.alias("http_headers"), F.col("html").alias("payload"))
 
 
-def written(record: dict) -> bytes:
-    """A derived record as it stands in a WARC file."""
+def written(record: dict, made: str | None = None) -> bytes:
+    """A derived record as it stands in a WARC file.
+
+    ``made`` is the time of its making, that of the response where none is
+    given.  Digests and HTTP headers of the source stand in extension fields,
+    one for each header line, so that a conversion record keeps them too.
+    """
     fields = [
-        ("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Date", record["refers_to_date"]), ("WARC-Target-URI", record["target_uri"]),
+        ("WARC-Type", record["record_type"]), ("WARC-Record-ID", record["record_id"]), ("WARC-Date", made or record["refers_to_date"]), ("WARC-Target-URI", record["target_uri"]),
         ("WARC-Refers-To", record["refers_to"]), ("WARC-Refers-To-Target-URI", record["target_uri"]), ("WARC-Refers-To-Date", record["refers_to_date"]),
-        ("WARC-Block-Digest", record["block_digest"]), ("WARC-Payload-Digest", record["payload_digest"]), ("Content-Type", record["content_type"]), ("Content-Length", str(record["content_length"])),
+        ("WARC-Block-Digest", record["block_digest"]), ("WARC-Payload-Digest", record["payload_digest"]),
+        ("X-Source-Block-Digest", record["source_block_digest"]), ("X-Source-Payload-Digest", record["source_payload_digest"]),
+        *((f"X-Source-Header-{n}", v) for n, v in header_fields(record["source_headers"] or "")),
+        ("Content-Type", record["content_type"]), ("Content-Length", str(record["content_length"])),
     ]
     return ("WARC/1.1\r\n" + "".join(f"{n}: {plain(v)}\r\n" for n, v in fields if v) + "\r\n").encode() + record["block"].encode() + b"\r\n\r\n"
 
@@ -205,13 +216,13 @@ def read_responses(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)
 
 
-def serialised(derived: DataFrame, compress: bool = True) -> DataFrame:
-    """record_id and warc: each record's bytes (a gzip member of its own), ready to be laid end to end."""
+def serialised(derived: DataFrame, compress: bool = True, made: str | None = None) -> DataFrame:
+    """record_id and warc: each record's bytes (a gzip member of its own), ready to be laid end to end; ``made`` as in written()."""
     names = [c.split()[0] for c in DERIVED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [written(r) for r in b.to_pylist()]
+            rows = [written(r, made) for r in b.to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([gzip.compress(r, mtime=0) if compress else r for r in rows], pa.binary())], ["record_id", "warc"])
 
     return derived.select(*names).mapInArrow(run, "record_id string, warc binary")
