@@ -120,7 +120,7 @@ def parse(html: str) -> tuple[list[Block], str, list[str]]:
             at = end if k < 0 else k + 1
             continue
         if name in ("br", "wbr", "img", "input"):
-            parts.append(" " if name != "wbr" else "")
+            parts.append(" " if name == "br" else "")
             continue
         if name in BLOCK:
             flush()

@@ -2,8 +2,9 @@
 
 Null html counts as empty and gives an empty text, as does a page without main
 blocks.  White space inside a block becomes one space, blocks are joined by one
-line feed in page order; nothing else is dropped or cut.  Repeated rows give
-repeated results.
+line feed in page order; nothing else is dropped or cut, however long the page.
+Repeated rows give repeated results, an empty table none; a block whose score
+stands just at the limit is left out.  Only ``carry`` columns are passed on.
 """
 
 from __future__ import annotations

@@ -1,3 +1,4 @@
+import base64
 import gzip
 import hashlib
 import string
@@ -142,6 +143,11 @@ def test_warc_files(spark, tmp_path):
     assert any("source-header-X-A: 1 folded\r\n" in r["block"] for r in made)
     packed = warc.serialised(warc.derivatives(responses)).collect()
     assert all(gzip.decompress(r["warc"]).startswith(b"WARC/1.1\r\nWARC-Type: ") for r in packed)
+    for r in warc.serialised(warc.derivatives(responses), compress=False, made="2026-01-02T03:04:05Z").collect():
+        head = r["warc"].partition(b"\r\n\r\n")[0].decode()
+        sha1 = lambda data: "sha1:" + base64.b32encode(hashlib.sha1(data).digest()).decode()
+        assert f"X-Source-Block-Digest: {sha1(block)}" in head and f"X-Source-Payload-Digest: {sha1(b'<p>Hi</p>')}" in head
+        assert "X-Source-Header-X-A: 1 folded" in head and "WARC-Date: 2026-01-02T03:04:05Z" in head and "WARC-Refers-To-Date: 2020-01-01T00:00:00Z" in head
     assert hashlib.sha1(b"").hexdigest() and string.ascii_lowercase
 
 
@@ -158,3 +164,27 @@ def test_warc_files_keep_bytes_and_source_digests(spark, tmp_path):
     (tmp_path / "a.warc").write_bytes(data)
     rows = warc.derivatives(warc.read_responses(spark, str(tmp_path))).filter("record_type = 'conversion'").collect()
     assert {r["refers_to"]: (r["source_block_digest"], r["source_payload_digest"], r["block"]) for r in rows} == want
+
+
+def test_very_long_pages(spark, labeller):
+    html = "<nav><a href=/>Home</a></nav><article>" + "".join(f"<p>This is paragraph number {i} of a long article, which goes on and on.</p>" for i in range(20000)) + "</article>"
+    df = spark.createDataFrame([(1, "u", html)], "page_id long, url string, html string")
+    got = main_text.main_text(df, labeller).first()
+    assert got["text"].count("\n") > 19000 and "number 19999 of" in got["text"]
+    made = warc.derivatives(warc.page_responses(df)).filter("record_type = 'conversion'").first()
+    assert made["block"].count("paragraph number") == 20000
+
+
+def test_a_page_alone_or_among_others(labeller):
+    maker = block_labeller.PageMaker(99)
+    pages = [p[0] for p in (maker.page() for _ in range(60)) if p[0]]
+    together = labeller.label(pages)
+    assert [labeller.label([p])[0] for p in pages] == together
+
+
+def test_images_do_not_part_words():
+    assert texts("<p>un<img src=a>broken <input> line<br>two</p>") == ["unbroken line two"]
+
+
+def test_urls_of_an_empty_table(spark):
+    assert url_filter.judge(spark.createDataFrame([], "page_id long, url string"), url_filter.default_model()).count() == 0
