@@ -31,9 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
         spark.conf.set("spark.checkpoint.dir", where)
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(where)
+    own = sc.getCheckpointDir()  # a folder of this application's own below it
+    if own and own not in _LEAVING:
+        _LEAVING.add(own)
+        delete_at_end(spark, own)
     return where
 
 
+_LEAVING: set[str] = set()
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Have Spark's own file system remove a folder when the application ends: lazy results may read it until then."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(conf).deleteOnExit(folder)
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the driver collect its garbage, so that Spark removes shuffle and checkpoint files of finished steps.
 
@@ -60,6 +74,7 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
