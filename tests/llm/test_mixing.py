@@ -127,3 +127,52 @@ def test_empty(spark):
     assert mixing.stage(spark, table(spark, []), "").count() == 0
     assert mixing.mix(table(spark, [])).count() == 0
     assert mixing.mix(table(spark, [(1, None, None, "", "")])).collect()[0]["taken"] == 0
+
+
+def plain_seats(votes, caps, seats):
+    """Highest quotients one at a time; ties to the earlier party."""
+    heap = [(-v, i) for i, v in enumerate(votes) if v > 0 and caps[i] > 0]
+    heapq.heapify(heap)
+    won = [0] * len(votes)
+    for _ in range(seats):
+        if not heap:
+            break
+        _, i = heapq.heappop(heap)
+        won[i] += 1
+        if won[i] < caps[i]:
+            heapq.heappush(heap, (-votes[i] / (2 * won[i] + 1), i))
+    return won
+
+
+def test_words_taken_of_every_document_equal_a_plain_deal(spark):
+    df = table(spark, made(8, 400))
+    got = mixing.mix(df, shard_words=2500, group_shards=4).collect()
+    width = got[0]["block_words"]
+    order = sorted({r["source"] for r in got}, key=lambda s: (s is None, (s or "").encode("utf-32-be")))
+    size = {s: sum(r["size"] for r in got if r["source"] == s) for s in order}
+    target = plain_targets(size)
+    blocks = plain_seats([target[s] for s in order], [2 * -(-size[s] // width) for s in order], round(sum(target.values()) / width))
+    for number, source in enumerate(order):
+        shards = {}
+        for r in got:
+            if r["source"] == source:
+                shards.setdefault(r["shard"], []).append(r)
+        names = sorted(shards)
+        words = {k: sum(r["size"] for r in shards[k]) for k in names}
+        cap = {k: 2 * -(-words[k] // width) for k in names}
+        groups = sorted({k // 4 for k in names})
+        inside = {g: [k for k in names if k // 4 == g] for g in groups}
+        of_group = plain_seats([sum(words[k] for k in inside[g]) for g in groups], [sum(cap[k] for k in inside[g]) for g in groups], blocks[number])
+        for g, won in zip(groups, of_group, strict=True):
+            quota = plain_seats([words[k] for k in inside[g]], [cap[k] for k in inside[g]], won)
+            for k, q in zip(inside[g], quota, strict=True):
+                n = max(1, -(-words[k] // width))
+                start = spark.range(1).select(F.pmod(F.xxhash64(F.lit(mixing.SEED + 2), F.lit(number), F.lit(k).cast("long")), F.lit(n))).first()[0]
+                at = 0
+                for r in sorted(shards[k], key=lambda r: (r["row_hash"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"])):
+                    taken = 0
+                    for b in range(at // width, -(-(at + r["size"]) // width)):
+                        part = min(at + r["size"], (b + 1) * width) - max(at, b * width)
+                        taken += part * (q // n + ((b * (2_971_215_073 % n) + start) % n < q % n))
+                    assert r["taken"] == taken, (source, k, r)
+                    at += r["size"]

@@ -1,5 +1,6 @@
 import os
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -150,3 +151,21 @@ def test_pipeline_against_plain_stages(spark):
     last = Counter((r["doc_id"], r["n_tokens"]) for r in kept["tokens"])
     assert last == Counter((r["doc_id"], len(t.encode(r["text"], add_special_tokens=False).ids)) for r in kept["mixture"])
     assert sorted(map(tuple, cp.run(spark, SF_DIR).collect())) == sorted(map(tuple, kept["tokens"]))
+
+
+def test_scores_equal_a_plain_sum(spark):
+    docs, labels = made(5, 150)
+    docs += [(9000, None, "en", "s", 0, "x"), (9001, " \n", "en", "s", 0, "x"), (9002, "same same same Other", "en", "s", 0, "x")]
+    df = spark.createDataFrame(docs, DOCS)
+    model = ordinal_quality.train(df, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    got = {r["doc_id"]: r for r in ordinal_quality.score(df, model).collect()}
+    for d, t, *_ in docs:
+        words, total = (t or "").split(), 0.0
+        for i, w in enumerate(words):
+            total += float(model.weights[zlib.crc32(b"w" + w.lower().encode()) % 65536]) + float(model.weights[zlib.crc32(b"s" + ordinal_quality.shape(w).encode()) % 65536])
+            if i and words[i - 1] == w:
+                total += float(model.weights[zlib.crc32(b"repeat") % 65536])
+        s = total / max(len(words), 1)
+        tails = [1 / (1 + np.exp(t - s)) for t in model.thresholds]
+        assert got[d]["score"] == pytest.approx(s, abs=1e-9)
+        assert [got[d]["p_grade_1"], got[d]["p_grade_2"]] == pytest.approx(tails) and got[d]["keep"] == (tails[0] >= ordinal_quality.KEEP_AT)

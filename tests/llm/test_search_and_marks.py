@@ -144,3 +144,75 @@ def test_many_vectors_are_sampled_and_queries_searched_in_heaps(spark, monkeypat
         d[q] = np.inf
         hits.append(len(set(np.argsort(d)[:10].tolist()) & set(got[q].values())) / 10)
     assert len(got) == 25 and np.mean(hits) >= 0.9
+
+
+def plain_level(x):
+    """Phrase names of one level, symbol by symbol."""
+    mask = (1 << 64) - 1
+
+    def mixed(v):
+        v = ((v ^ (v >> 30)) * 0xBF58476D1CE4E5B9) & mask
+        v = ((v ^ (v >> 27)) * 0x94D049BB133111EB) & mask
+        return v ^ (v >> 31)
+
+    runs = []
+    for v in x:
+        if runs and runs[-1][0] == v:
+            runs[-1][1] += 1
+        else:
+            runs.append([v, 1])
+    if len(runs) < len(x):
+        x = [mixed(v ^ (n * 0xD6E8FEB86659FD93 & mask)) if n > 1 else v for v, n in runs]
+    label, bits = list(x), 64
+    for _ in range(3):
+        before = None
+        new = []
+        for v in label:
+            left = ~v & ((1 << bits) - 1) if before is None else before
+            differs = v ^ left
+            low = bits if not differs else (differs & -differs).bit_length() - 1
+            new.append(2 * low + ((v >> low) & 1 if low < bits else 0))
+            before = v
+        label, bits = new, 8
+    n, starts = len(x), []
+    for i in range(n):
+        if i == 0:
+            starts.append(i)
+        elif i == 1:
+            continue
+        elif label[i] > label[i - 1] and (i == n - 1 or label[i] >= label[i + 1]):
+            starts.append(i)
+    cuts = [*starts, n]
+    return [mixed(sum(mixed((x[a + k] + k * 0x9E3779B97F4A7C15) & mask) for k in range(b - a)) & mask) for a, b in zip(cuts, cuts[1:], strict=False)], mixed
+
+
+def plain_sketch(t):
+    if not t:
+        return [], []
+    x, first, higher, depth = [ord(c) + 1 for c in t], [], set(), 0
+    while True:
+        x, mixed = plain_level(x)
+        depth += 1
+        names = {mixed((v + depth) & ((1 << 64) - 1)) >> 32 for v in x}
+        if depth == 1:
+            first = sorted(names)[: phrases.FIRST]
+        else:
+            higher |= names
+        if len(x) == 1:
+            return first, sorted(higher)[: phrases.HIGHER]
+
+
+def test_sketches_equal_a_plain_parse():
+    r = random.Random(21)
+    texts = ["", "a", "aa", "ab", "aab", "aaaaaaab", "abababab"] + [text(r, n) for n in (3, 5, 9, 40, 41, 300)] + ["é\u2003" * 20 + "𝒳" * 5 + "end"]
+    for t, got in zip(texts, phrases.sketches(texts), strict=True):
+        first, higher = plain_sketch(t)
+        assert got[0].tolist() == first and got[1].tolist() == higher, t[:40]
+    for a in texts[:8]:
+        for b in texts[5:]:
+            x, y = plain_sketch(a), plain_sketch(b)
+            hits = seen = 0
+            for u, v, k in zip(x, y, (phrases.FIRST, phrases.HIGHER), strict=True):
+                least = sorted(set(u) | set(v))[:k]
+                hits, seen = hits + len([z for z in least if z in u and z in v]), seen + len(least)
+            assert phrases.likeness(*phrases.sketches([a, b])) == (hits / seen if seen else 1.0)
