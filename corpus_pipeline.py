@@ -13,25 +13,44 @@ from latticework.llm.runtime import ship, stored, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the documents that the ordinal classifier rejects."""
+    """Drop the documents that the ordinal classifier rejects.
+
+    Every row is judged by its own text: null and empty ones score 0 words and
+    stay or go by the threshold alone, repeated rows share their fate, null ids
+    are judged like any, and an empty table stays empty.
+    """
     ship(spark)
     return ordinal_quality.stage(spark, docs, sf_dir)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each class of near-duplicates."""
+    """Keep one document of each class of near-duplicates.
+
+    One row of each class stays: the smallest doc_id, nulls last, then by the
+    text's key and the other columns, so repeated rows and rows without ids
+    leave one.  Null texts count as empty; an empty table stays empty.
+    """
     ship(spark)
     return near_dedup.stage(spark, docs, sf_dir)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix of sources takes it."""
+    """Each document as often as the mix of sources takes it.
+
+    Documents without words, null texts among them, stay once; null sources are
+    one source; rows equal in doc_id, text and source share the copies of all of
+    them; an empty table stays empty.
+    """
     ship(spark)
     return mixing.stage(spark, docs, sf_dir)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Encode each document and decode it again: doc_id, n_tokens and the digests of both."""
+    """Encode each document and decode it again: doc_id, n_tokens and the digests of both.
+
+    A row each, repeated ones too; null texts count as empty; an empty table
+    gives no rows.
+    """
     ship(spark)
     return bpe.code_column(docs, bpe.vocabulary_path())
 
