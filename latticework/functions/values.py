@@ -224,10 +224,10 @@ def python_needed(df: DataFrame, values: list[Column]) -> bool:
     return not df.filter(test).limit(1).isEmpty()
 
 
-def identity_key(df: DataFrame, keys: list[str], props: str = "props") -> Column:
-    """``k=repr,...`` over ``keys``; null where any is missing."""
+def identity_key(df: DataFrame, keys: list[str], props: str = "props", python: bool | None = None) -> Column:
+    """``k=repr,...`` over ``keys``; null where any is missing.  ``python``: whether a value needs it, looked up if not said."""
     values = [prop(k, props) for k in keys]
-    python = python_needed(df, values)
+    python = python_needed(df, values) if python is None else python
     parts = [F.concat(F.lit(f"{k}="), text_key(v, python)) for k, v in zip(keys, values, strict=True)]
     out = parts[0]
     for p in parts[1:]:

@@ -47,16 +47,31 @@ def diff_edges_by_id(left: DataFrame, right: DataFrame) -> DataFrame:
 
 
 def identities(df: DataFrame, node_key: list[str] | None, rules: Mapping[str, list[str]] | None) -> DataFrame:
-    """id, identity; an error unless every node has one of its own."""
-    if node_key:
-        found = cut(df.select("id", V.identity_key(df, node_key).alias("identity")))
-    else:
-        found = cut(rule_identity(df, rules or {}))
-        if not found.filter("rules != 1").isEmpty():
-            raise UsageError("every node needs exactly one identity rule")
-    if not found.filter("identity is null").isEmpty():
+    """id, identity; an error unless every node has one of its own.
+
+    Identities are made by SQL first; whether that was wrong for some value is
+    found in the one pass that checks them.
+    """
+    keys = sorted(set(node_key or [k for ks in (rules or {}).values() for k in ks]))
+    risky = F.lit(False)
+    for k in keys:
+        risky = risky | F.coalesce(V.needs_python(V.prop(k)), F.lit(False))
+    for python in (False, True):
+        also = (F.lit(False) if python else risky).alias("risky")
+        if node_key:
+            found = cut(df.select("id", V.identity_key(df, node_key, python=python).alias("identity"), F.lit(1).alias("rules"), also))
+        else:
+            found = cut(rule_identity(df, rules or {}, python, also))
+        each = found.groupBy("identity").agg(F.count(F.lit(1)).alias("n"), F.max(F.abs(F.col("rules") - 1)).alias("off"), F.max("risky").alias("risky"))
+        known = F.col("identity").isNotNull()
+        facts = each.agg(F.max(F.when(known, F.col("n"))).alias("most"), F.max((~known)).alias("lost"), F.max("off").alias("off"), F.max("risky").alias("risky")).first()
+        if not facts["risky"]:
+            break
+    if facts["off"]:
+        raise UsageError("every node needs exactly one identity rule")
+    if facts["lost"]:
         raise UsageError("a node has no value for its identity")
-    if not found.groupBy("identity").count().filter("count > 1").isEmpty():
+    if (facts["most"] or 0) > 1:
         raise UsageError("an identity is not unique")
     return found.select("id", "identity")
 

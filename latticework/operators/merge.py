@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.errors import CorruptedGraphError, MergeError
@@ -37,16 +37,18 @@ def keys_identity(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.select("id", joined.alias("identity"), *[F.map_contains_key("props", F.lit(k)).alias(f"has_{i}") for i, k in enumerate(keys)])
 
 
-def rule_identity(df: DataFrame, rules: Mapping[str, list[str]]) -> DataFrame:
-    """id, identity, rules (how many labels have one), missing: ``Label:k=repr,...`` by the one rule of a node's labels."""
+def rule_identity(df: DataFrame, rules: Mapping[str, list[str]], python: bool | None = None, *also: Column) -> DataFrame:
+    """id, identity, rules (how many labels have one), missing, and ``also``: ``Label:k=repr,...`` by the one rule of a node's labels."""
     if not rules:
-        return df.select("id", F.lit(None).cast("string").alias("identity"), F.lit(0).alias("rules"), F.lit(False).alias("missing"))
+        return df.select("id", F.lit(None).cast("string").alias("identity"), F.lit(0).alias("rules"), F.lit(False).alias("missing"), *also)
+    if python is None:
+        python = V.python_needed(df, [V.prop(k) for k in sorted({k for keys in rules.values() for k in keys})])
     matched = F.filter(F.array_distinct("labels"), lambda x: x.isin(*rules))
     text = F.lit(None).cast("string")
     for label, keys in rules.items():
-        text = F.when(matched[0] == label, F.concat(F.lit(f"{label}:"), V.identity_key(df, keys))).otherwise(text)
+        text = F.when(matched[0] == label, F.concat(F.lit(f"{label}:"), V.identity_key(df, keys, python=python))).otherwise(text)
     one = F.size(matched) == 1
-    return df.select("id", F.when(one, text).alias("identity"), F.size(matched).alias("rules"), (one & text.isNull()).alias("missing"))
+    return df.select("id", F.when(one, text).alias("identity"), F.size(matched).alias("rules"), (one & text.isNull()).alias("missing"), *also)
 
 
 def merge_from(

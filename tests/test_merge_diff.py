@@ -116,3 +116,15 @@ def test_edge_multiset_diff(spark):
 def test_loose_values_do_not_count_as_changes(spark):
     a, b = (PropertyGraph.of(spark, [(["N"], {"k": "x", "v": v})]) for v in (1, 1.0))
     assert not diff.diff(a, b)["changed"]
+
+
+def test_identities_that_need_python_are_found_in_the_one_pass(spark):
+    from latticework.operators.diff import identities
+    from latticework.operators.graph import PropertyGraph
+
+    rows = [(["A"], {"k": 1.0}), (["A"], {"k": "it's"}), (["A"], {"k": [1, "x"]}), (["B"], {"k": 1}), (["B"], {"k": "plain"})]
+    g = PropertyGraph.of(spark, rows)
+    want = {i: f"k={p['k']!r}" for i, (_, p) in enumerate(rows, 1)}
+    assert {r["id"]: r["identity"] for r in identities(g.nodes, ["k"], None).collect()} == want
+    got = identities(g.nodes, None, {"A": ["k"], "B": ["k"]}).collect()
+    assert {r["id"]: r["identity"] for r in got} == {i: f"{rows[i - 1][0][0]}:{t}" for i, t in want.items()}
