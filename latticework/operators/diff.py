@@ -112,8 +112,8 @@ def edge_multiset_diff(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.filter("d != 0").select("edge", F.when(F.col("d") > 0, "added").otherwise("removed").alias("change"), F.abs("d").alias("n"))
 
 
-def diff(left: PropertyGraph, right: PropertyGraph, node_key: list[str] | None = None, rules: Mapping[str, list[str]] | None = None) -> dict:
-    """Report with the added, removed and changed nodes and edges; in keyed modes edges never count as changed."""
+def changes(left: PropertyGraph, right: PropertyGraph, node_key: list[str] | None = None, rules: Mapping[str, list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(name, change) of the nodes and of the edges that differ, for graphs of any size; in keyed modes edges never count as changed."""
     if node_key and rules:
         raise UsageError("node key and identity rules exclude each other")
     if node_key or rules:
@@ -124,6 +124,12 @@ def diff(left: PropertyGraph, right: PropertyGraph, node_key: list[str] | None =
     else:
         nodes = diff_nodes_by_id(left.nodes, right.nodes).withColumnRenamed("id", "name")
         edges = diff_edges_by_id(left.edges, right.edges).withColumnRenamed("id", "name")
+    return nodes, edges
+
+
+def diff(left: PropertyGraph, right: PropertyGraph, node_key: list[str] | None = None, rules: Mapping[str, list[str]] | None = None) -> dict:
+    """changes() as one report with the counts of both sides, for differences that fit on the driver."""
+    nodes, edges = changes(left, right, node_key, rules)
     out = {}
     for kind, df in (("nodes", nodes), ("edges", edges)):
         rows = df.collect()

@@ -137,8 +137,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> int:
         return 0
     if a.command == "import":
         free(spark, a.output, a.force)
-        text = Folder(spark, a.file).read()
-        save(spark, json_io.import_json(spark, text), a.output)
+        if not Folder(spark, a.file).exists():
+            raise UsageError(f"{a.file} does not exist")
+        save(spark, json_io.import_document(spark, a.file), a.output)
         emit({"imported": True})
         return 0
     with GraphStore(spark, a.graph) as store:

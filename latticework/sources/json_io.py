@@ -14,8 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from latticework.errors import UsageError
+from latticework.errors import CorruptedGraphError, UsageError
 from latticework.functions import values as V
+from latticework.functions.checkpoints import cut
 from latticework.operators.graph import Edge, Node, PropertyGraph
 from latticework.operators.subgraph import remapped
 from latticework.sources.folder import Folder
@@ -187,6 +188,31 @@ def import_json(spark: SparkSession, text: str) -> PropertyGraph:
     return PropertyGraph(*remapped(ns, es), next_node=len(nodes) + 1, next_edge=len(edges) + 1)
 
 
+DOCUMENT = "export_version string, nodes array<struct<id: long, labels: array<string>, properties: string>>, edges array<struct<id: long, from_node: long, to_node: long, label: string, properties: string>>"
+
+
+def import_document(spark: SparkSession, path: str) -> PropertyGraph:
+    """import_json() of a file, read and checked on the executors; the file is one record, and so of at most 2 GB."""
+    doc = cut(spark.read.schema(f"{DOCUMENT}, __broken string").json(path, multiLine=True, columnNameOfCorruptRecord="__broken"))
+    facts = doc.agg(F.count(F.lit(1)).alias("n"), F.max("export_version").alias("version"), F.max(F.col("nodes").isNull() | F.col("edges").isNull()).alias("lost"), F.max(F.col("__broken").isNotNull()).alias("broken")).first()
+    if facts["broken"]:
+        raise UsageError(f"not JSON of an export: {path}")
+    if facts["n"] != 1 or facts["version"] != str(EXPORT_VERSION):
+        raise UsageError("not an export of a known version")
+    if facts["lost"]:
+        raise UsageError("nodes and edges must be lists")
+    nodes, edges = (doc.select(F.explode(c).alias("x")).select("x.*") for c in ("nodes", "edges"))
+    whole = lambda df: F.forall(F.array(*[F.col(c).isNotNull() for c in df.columns]), lambda x: x) & F.col("properties").startswith("{")
+    broken = nodes.filter(~F.coalesce(whole(nodes) & F.forall("labels", lambda x: x.isNotNull()), F.lit(False))).select("id").union(edges.filter(~F.coalesce(whole(edges), F.lit(False))).select("id"))
+    if not broken.isEmpty():
+        raise UsageError("a node or an edge is not well formed")
+    props = _tagged_props("properties").alias("props")
+    try:
+        return PropertyGraph(*remapped(nodes.select("id", "labels", props), edges.select("id", F.col("from_node").alias("src"), F.col("to_node").alias("dst"), "label", props)))
+    except CorruptedGraphError as e:
+        raise UsageError(str(e)) from e
+
+
 def bulk_json(spark: SparkSession, text: str) -> PropertyGraph:
     """Nodes and edges in file order without checks; edges name their ends by the file's ids."""
     data = json.loads(text)
@@ -225,8 +251,13 @@ def save(spark: SparkSession, parts: Iterable[str], path: str, force: bool = Fal
     temporary = f"{name}.{uuid.uuid4().hex}"
     try:
         stream = place.fs.create(place.at(temporary), True)
+        held: list[str] = []
         for part in parts:
-            stream.write(bytearray(part.encode()))
+            held.append(part)
+            if len(held) >= 4096:
+                stream.write(bytearray("".join(held).encode()))
+                held = []
+        stream.write(bytearray("".join(held).encode()))
         stream.close()
         place.replace(temporary, name)
     finally:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from latticework.functions import values as V
+from latticework.functions.checkpoints import cut
 from latticework.operators.graph import PropertyGraph, has_label
 from latticework.operators.subgraph import numbered
 from latticework.sources.store import GraphStore
@@ -15,7 +16,7 @@ from latticework.sources.store import GraphStore
 def staged(graph: PropertyGraph, batch: DataFrame) -> PropertyGraph:
     """The graph with a batch of (event_id, actor, operation, timestamp) rows that it does not have yet."""
     log = graph.nodes.filter(has_label(["Event"])).select(V.prop_str("event_id").alias("event_id"))
-    new = batch.join(log, "event_id", "left_anti").dropDuplicates(["event_id"])
+    new = cut(batch.join(log, "event_id", "left_anti").dropDuplicates(["event_id"]))
     actors = graph.nodes.filter(has_label(["Actor"])).select("id", V.prop_str("key").alias("actor"))
     first = graph.next_id("node")
     made_actors = numbered(new.select("actor").distinct().join(actors.select("actor"), "actor", "left_anti"), ["actor"], first, "id")

@@ -69,13 +69,25 @@ def test_export_import_manifest_sign(spark, small):
     assert lines[0] == data["nodes"][0]
 
 
-def test_import_renumbers_and_refuses(spark):
+def test_import_renumbers_and_refuses(spark, tmp_path):
     doc = {"export_version": 1, "nodes": [{"id": 20, "labels": [], "properties": {"k": "B"}}, {"id": 10, "labels": [], "properties": {"k": "A"}}], "edges": [{"id": 99, "from_node": 20, "to_node": 10, "label": "R", "properties": {}}]}
     g = json_io.import_json(spark, json.dumps(doc))
     assert g.get_node(1)["k"] == "A" and (g.get_edge(1).from_node, g.get_edge(1).to_node) == (2, 1)
     for broken in ([], doc | {"export_version": 2}, doc | {"nodes": doc["nodes"][:1]}, doc | {"nodes": [{"id": "x"}]}):
         with pytest.raises(UsageError):
             json_io.import_json(spark, json.dumps(broken))
+    file = tmp_path / "d.json"
+    file.write_text(json.dumps(doc | {"extra": [1]}, indent=2))
+    g = json_io.import_document(spark, str(file))
+    assert g.get_node(1)["k"] == "A" and (g.get_edge(1).from_node, g.get_edge(1).to_node) == (2, 1)
+    node = doc["nodes"][0]
+    for broken in ([], doc | {"export_version": 2}, doc | {"nodes": doc["nodes"][:1]}, doc | {"nodes": [{"id": "x"}]}, doc | {"nodes": [node | {"properties": [1]}]}, doc | {"nodes": [node | {"labels": [None]}]}, doc | {"edges": None}):
+        file.write_text(json.dumps(broken))
+        with pytest.raises(UsageError):
+            json_io.import_document(spark, str(file))
+    file.write_text("{not json")
+    with pytest.raises(UsageError):
+        json_io.import_document(spark, str(file))
     with pytest.raises(UsageError):
         json_io.manifest(PropertyGraph.of(spark, [([], {"x": float("nan")})]))
 
