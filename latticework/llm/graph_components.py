@@ -19,7 +19,8 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         both = state.select("u", "v").union(state.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # cut off, so that both sides of the join are plain shuffles and the rows of a node of many links can be split
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), collect=False)
         large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")

@@ -58,10 +58,11 @@ def let_go(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` with checkpoint() so that later stages restart from shared files."""
+def cut(df: DataFrame, collect: bool = True) -> DataFrame:
+    """Materialise ``df`` with checkpoint() so that later stages restart from shared files; ``collect``: see let_go()."""
     shared_dir(df.sparkSession)
-    let_go(df.sparkSession)
+    if collect:
+        let_go(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
