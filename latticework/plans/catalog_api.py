@@ -32,7 +32,7 @@ NOTHING = "one AS (SELECT 1)"
 
 def table_of(rows: list[tuple], columns: str) -> str:
     """SQL of a fixed result."""
-    text = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
+    text = lambda v: "NULL" if v is None else str(v).upper() if isinstance(v, bool) else f"CAST({v} AS BIGINT)" if isinstance(v, int) else "'" + v.replace("'", "''") + "'"
     return "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(text, r)) + ")" for r in rows) + f") t({columns})"
 
 
@@ -417,7 +417,7 @@ def _(s, d):
     goal = walked(s, d, 2).filter("depth = 2 and id < 20000000000").agg(F.min("id")).first()[0]
     t = tools.trace(g, start, goal)
     parts = {"path": [n["name"] for n in t["path"]], "hop": t["path_hop_labels"], "branch": [f"{b['edge_label']} {b['target']['id']}" for b in t["reasoning_branches"]], "mermaid": t["mermaid"].splitlines()}
-    return frame(s, [(k, i, x) for k, lines in parts.items() for i, x in enumerate(lines)], "part string, pos int, text string")
+    return frame(s, [(k, i, x) for k, lines in parts.items() for i, x in enumerate(lines)], "part string, pos long, text string")
 
 
 STORY = (
@@ -430,7 +430,7 @@ STORY_TEXT = ["Trace: Cache it → cache.py", "", "Decision found:", "Cache it",
 @query("trace_text", table_of([(i, "Trace: Cache it → t" if i == 0 else x) for i, x in enumerate(STORY_TEXT)], "pos, line"), NOTHING)
 def _(s, d):
     text = tools.trace_text(tools.trace(PropertyGraph.of(s, *STORY), 1, 6), mermaid=False)
-    return frame(s, list(enumerate(text.splitlines())), "pos int, line string")
+    return frame(s, list(enumerate(text.splitlines())), "pos long, line string")
 
 
 @query("hop_comparison", "SELECT s_suppkey * 100 + r_regionkey AS walk, 2 + s_suppkey % 3 AS hops, CASE WHEN r_regionkey = n_regionkey THEN 2 END AS shortest, CASE WHEN r_regionkey = n_regionkey THEN s_suppkey % 3 END AS overhead FROM supplier JOIN nation ON n_nationkey = s_nationkey CROSS JOIN region")
@@ -491,7 +491,7 @@ SMALL_MAP = "SELECT 0 AS pos, 'graph LR' AS line UNION ALL SELECT row_number() O
 def _(s, d):
     """Of the whole graph the nodes first by id, 30 by default: regions and nations."""
     lines = tools.map_tool(T.commerce(s, d))["mermaid"].splitlines()
-    return frame(s, list(enumerate(lines)), "pos int, line string")
+    return frame(s, list(enumerate(lines)), "pos long, line string")
 
 
 @query("viewer_summary", ", shown AS (SELECT id, coalesce(name, 'node:' || id) AS text FROM nodes ORDER BY id LIMIT 300) SELECT 'label' AS part, label AS name, n FROM (SELECT kind AS label, count(*) AS n FROM nodes GROUP BY 1 UNION ALL SELECT 'Party', count(*) FROM nodes WHERE kind IN ('Customer', 'Supplier')) UNION ALL SELECT 'node', text, id FROM shown UNION ALL SELECT 'edge', src || ' ' || label || ' ' || dst, 0 FROM (SELECT * FROM edges WHERE src IN (SELECT id FROM shown) AND dst IN (SELECT id FROM shown) ORDER BY id LIMIT 600)")
@@ -774,7 +774,7 @@ def _(s, d):
         if name == "sign":
             files.write("signed.json", printed)
         rows.append((name, code))
-    return frame(s, rows, "command string, code int")
+    return frame(s, rows, "command string, code long")
 
 
 @query("cli_merge", "SELECT id, name FROM nodes WHERE kind IN ('Region', 'Nation')")
