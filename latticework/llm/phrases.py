@@ -65,7 +65,9 @@ def least(owners: list[np.ndarray], names: list[np.ndarray], n: int, k: int) ->
     """For each of ``n`` texts its ``k`` smallest names, sorted."""
     if not names:
         return [np.zeros(0, np.uint32) for _ in range(n)]
-    key = np.unique((np.concatenate(owners).astype(U) << U(32)) | np.concatenate(names))
+    key = (np.concatenate(owners).astype(U) << U(32)) | np.concatenate(names)
+    key.sort()
+    key = key[np.concatenate(([True], key[1:] != key[:-1]))]
     owner = (key >> U(32)).astype(np.int64)
     start = np.searchsorted(owner, np.arange(n + 1))
     small = (key & U(0xFFFFFFFF)).astype(np.uint32)
