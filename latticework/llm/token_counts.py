@@ -1,7 +1,8 @@
 """Token counts with a whole-token shortcut for a byte-level BPE vocabulary.
 
-Offline, every vocabulary string is merged on its own; those that end as one
-token are proven whole.  A pre-token among them counts as one without any
+Offline, that is once on the driver, every vocabulary string is merged on its
+own; those that end as one token are proven whole, and their set, bounded by
+the vocabulary, is broadcast.  A pre-token among them counts as one without any
 merging; only the rest goes through the merge table.  Null texts count as
 empty (0 bytes, 0 tokens).  Special token strings count as one token each.
 Repeated rows give repeated results, an empty table none; a null or repeated id
@@ -12,6 +13,7 @@ from __future__ import annotations
 
 import gc
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import regex
@@ -34,28 +36,31 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@lru_cache(maxsize=4)
+def proven(path: str) -> frozenset[str]:
+    """Vocabulary strings that encode alone as exactly their own token."""
+    index, _ = pair_index.load(path)
+    back = {c: b for b, c in enumerate(pair_index.byte_alphabet())}
+    items = [(i, bytes(back[c] for c in t)) for i, t in index.tokens.items() if all(c in back for c in t)]
+    found = set()
+    for (i, raw), ids in zip(items, index.encode([raw for _, raw in items]), strict=True):
+        if ids == [i]:
+            try:
+                found.add(raw.decode())
+            except UnicodeDecodeError:
+                pass  # part of a character: never a pre-token
+    return frozenset(found)
+
+
 class TokenCounter:
-    def __init__(self, path: str):
+    def __init__(self, path: str, whole: frozenset[str]):
         self.index, self.special = pair_index.load(path)
         self.marks = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
         self.library = code_points.Library(path)
-        self.whole = self.prove()
+        self.whole = whole
         self.extra: dict[str, int] = {}
         self.older: dict[str, int] = {}
 
-    def prove(self) -> frozenset[str]:
-        """Vocabulary strings that encode alone as exactly their own token."""
-        back = {c: b for b, c in enumerate(pair_index.byte_alphabet())}
-        items = [(i, bytes(back[c] for c in t)) for i, t in self.index.tokens.items() if all(c in back for c in t)]
-        found = set()
-        for (i, raw), ids in zip(items, self.index.encode([raw for _, raw in items]), strict=True):
-            if ids == [i]:
-                try:
-                    found.add(raw.decode())
-                except UnicodeDecodeError:
-                    pass  # part of a character: never a pre-token
-        return frozenset(found)
-
     def odd_split(self, text: str) -> list[str]:
         """Pre-tokens of a text with odd code points."""
         return self.library.split(PRE_TOKENS, text)
@@ -94,9 +99,9 @@ class TokenCounter:
 _COUNTERS: dict[str, TokenCounter] = {}
 
 
-def worker_counter(path: str) -> TokenCounter:
+def worker_counter(path: str, whole: frozenset[str]) -> TokenCounter:
     if path not in _COUNTERS:
-        _COUNTERS[path] = TokenCounter(path)
+        _COUNTERS[path] = TokenCounter(path, whole)
     return _COUNTERS[path]
 
 
@@ -107,9 +112,10 @@ BATCH_TEXTS = 512
 def count_tokens(df: DataFrame, path: str, limit: int = LIMIT, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per row: id, n_bytes (UTF-8), n_tokens and over_limit (n_tokens > limit)."""
     typed = dict(df.dtypes)[id_column]
+    whole = df.sparkSession.sparkContext.broadcast(proven(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = worker_counter(path)
+        counter = worker_counter(path, whole.value)
         gc.disable()  # only long-lived tables and lists without cycles are made here
         try:
             for b in batches:

@@ -14,7 +14,7 @@ from latticework.llm import bpe, pair_index, token_counts
 
 TEXTS = ["", " \n", "hello World, it's 42!", "<|endoftext|>", "a<|endoftext|>b <|startoftext|> <|startof", "ΑΣ ΣΑΣ Σ. straße İI ﬁ", "é x\x1c\x85\u180e\u200b y", "'S I'll don't", "a" * 5000, "١٢٣ ٤٥", "🙂👍🏽 日本語", "a\n\n  b \t c\r\n", "\0\0<|endoftext|> \0\0a", "\u0558 \u1c89b", "word " * 3000]
 WORD, BYTE = Tokenizer.from_file(bpe.vocabulary_path()), Tokenizer.from_file(token_counts.vocabulary_path())
-CODER, COUNTER = bpe.WordCoder(bpe.vocabulary_path()), token_counts.TokenCounter(token_counts.vocabulary_path())
+CODER, COUNTER = bpe.WordCoder(bpe.vocabulary_path()), token_counts.TokenCounter(token_counts.vocabulary_path(), token_counts.proven(token_counts.vocabulary_path()))
 
 
 def check(texts):
@@ -49,8 +49,8 @@ def test_array_phase_equals_the_plain_one(monkeypatch):
 
 
 def test_whole_tokens_are_proven():
-    for w in list(COUNTER.whole)[:500]:
-        assert len(BYTE.encode(w, add_special_tokens=False).ids) >= 1
+    alone = [w for w in sorted(COUNTER.whole) if token_counts.PRE_TOKENS.findall(w) == [w] and w not in COUNTER.special]
+    assert len(alone) > 30000 and all(len(e.ids) == 1 for e in BYTE.encode_batch(alone, add_special_tokens=False))
     assert " the" in COUNTER.whole and " zzqx" not in COUNTER.whole
 
 
