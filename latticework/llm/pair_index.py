@@ -89,7 +89,9 @@ class PairIndex:
         while heap and heap[0] < ARRAY_RANKS and self.safe[heap[0]]:
             r = heapq.heappop(heap)
             a, b, new = self.made[r]
-            p = np.unique(np.concatenate(where.pop(r)))
+            p = np.concatenate(where.pop(r))
+            p.sort()
+            p = p[np.concatenate(([True], p[1:] != p[:-1]))]
             p = p[sym[p] == a]
             p = p[sym[nxt[p]] == b]
             if a == b and len(p):  # of a run of equal symbols, every second pair from its left end
