@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -62,7 +63,7 @@ def bag(lists: list[list[str]], hashes: WordHashes) -> tuple[np.ndarray, np.ndar
     h = np.zeros(total, U)
     starts = np.cumsum(padded) - padded
     at = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
-    h[at] = np.fromiter((hashes[w] for ws in lists for w in ws), U, int(sizes.sum()))
+    h[at] = np.fromiter(map(hashes.__getitem__, chain.from_iterable(lists)), U, int(sizes.sum()))
     text = np.repeat(np.arange(len(lists)), padded)
     room = np.repeat(starts + padded, padded) - np.arange(total) >= WIDTH
     n = total - WIDTH + 1
@@ -70,8 +71,11 @@ def bag(lists: list[list[str]], hashes: WordHashes) -> tuple[np.ndarray, np.ndar
     for j in range(WIDTH):
         s += (h[j : j + n] ^ (h[j : j + n] >> U(32))) * STEPS[j]
     s, text = mixed(s[room[:n]]), text[:n][room[:n]]
-    order = np.lexsort((s, text)) if len(lists) > 1 else np.argsort(s, kind="stable")
-    s, text = s[order], text[order]
+    ends = np.flatnonzero(np.concatenate((text[1:] != text[:-1], [True]))) + 1
+    at = 0
+    for end in ends.tolist():
+        s[at:end].sort()
+        at = end
     new = np.concatenate(([True], (s[1:] != s[:-1]) | (text[1:] != text[:-1])))
     first = np.flatnonzero(new)
     return text[first], s[first], np.diff(np.concatenate((first, [len(s)])))
