@@ -17,6 +17,11 @@ from latticework.sources import json_io
 from latticework.sources.store import GraphStore
 
 DEFAULT_NAME = "memory.graph"
+#: The map of an empty graph, and the lines and marks of a trace's text.
+EMPTY_MAP = "graph LR\n    empty[No nodes found]"
+NO_PATH, NO_ROUTE = "Trace: (no path found)", "No route under the given constraints."
+DECISION, WHY, FACTORS, REJECTED, DONE, PATH, DRAWN = "Decision found:", "Why:", "Key factors:", "Rejected:", "Implemented in:", "Path:", "Mermaid:"
+YES, NO, NEXT = "✓ ", "✗ ", "→ "
 
 
 def clamp(value: int | None, low: int, high: int, default: int) -> int:
@@ -170,18 +175,18 @@ def trace_text(payload: dict[str, Any], mermaid: bool = True) -> str:
     label, path = payload["edge_label"], payload["path"]
     only = [f"Edge label filter: {label}"] if label else []
     if path is None:
-        return "\n".join(["Trace: (no path found)", *only, "", "No route under the given constraints."])
+        return "\n".join([NO_PATH, *only, "", NO_ROUTE])
     told = narrative(path, payload["reasoning_branches"])
     about = filled(path[0], "trace_prompt") or f"{title_of(path[0])} → {title_of(path[-1])}"
     sections = [[f"Trace: {about}", *only]]
     if told["decision"] is not None:
-        sections.append(["Decision found:", told["decision"]])
-    for head, mark, lines in (("Why:", "✓ ", told["why"]), ("Key factors:", "✓ ", told["factors"]), ("Rejected:", "✗ ", told["rejected"]), ("Implemented in:", "", [told["implemented"]] * (told["implemented"] is not None))):
+        sections.append([DECISION, told["decision"]])
+    for head, mark, lines in ((WHY, YES, told["why"]), (FACTORS, YES, told["factors"]), (REJECTED, NO, told["rejected"]), (DONE, "", [told["implemented"]] * (told["implemented"] is not None))):
         if lines:
             sections.append([head, *(f"  {mark}{x}" for x in lines)])
-    sections.append(["Path:", *(("  → " if i else "  ") + row_title(n) for i, n in enumerate(path))])
+    sections.append([PATH, *(f"  {NEXT if i else ''}{row_title(n)}" for i, n in enumerate(path))])
     if mermaid and payload["mermaid"]:
-        sections.append(["Mermaid:", payload["mermaid"]])
+        sections.append([DRAWN, payload["mermaid"]])
     return "\n\n".join("\n".join(x) for x in sections)
 
 
@@ -190,7 +195,7 @@ def map_tool(graph: PropertyGraph, ids: list[int] | None = None, limit: int | No
     rows = graph.nodes.filter(F.col("id").isin(*ids)) if ids else graph.nodes.orderBy("id").limit(clamp(limit, 1, 100, 30))
     chosen = rows.select("id")
     if chosen.isEmpty():
-        return {"mermaid": "graph LR\n    empty[No nodes found]"}
+        return {"mermaid": EMPTY_MAP}
     edges = graph.edges_between(chosen)
     return {"mermaid": subgraph.mermaid(rows, edges)}
 
