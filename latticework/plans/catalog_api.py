@@ -192,9 +192,9 @@ def _(s, d):
 @query("json_import_document", NUMBERED + " SELECT row_number() OVER (ORDER BY e.id) AS id, a.k AS src, b.k AS dst, label, a.name, a.acctbal FROM edges e JOIN n a ON a.id = e.src JOIN n b ON b.id = e.dst")
 def _(s, d):
     """Nations and parties written to a file and read from it on the executors."""
-    at = scratch(s, "document")
-    json_io.save(s, json_io.document_parts(T.party_left(s, d), "export_version"), f"{at}.json")
-    g = json_io.import_document(s, f"{at}.json")
+    file = f"{scratch(s, 'document')}/parties.json"
+    json_io.save(s, json_io.document_parts(T.party_left(s, d), "export_version"), file)
+    g = json_io.import_document(s, file)
     source = g.nodes.select(F.col("id").alias("src"), V.prop_str("name").alias("name"), V.prop_float("acctbal").alias("acctbal"))
     return g.edges.select("id", "src", "dst", "label").join(source, "src")
 
