@@ -6,6 +6,7 @@ import atexit
 import gc
 import shutil
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -48,14 +49,23 @@ def delete_at_end(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(conf).deleteOnExit(folder)
 
 
+#: Seconds between the driver's collections, at least.
+GC_SECONDS = 2.0
+_LET_GO = 0.0
+
+
 def let_go(spark: SparkSession) -> None:
     """Have the driver collect its garbage, so that Spark removes shuffle and checkpoint files of finished steps.
 
     Jobs of many steps would keep the files of all of them until the driver
-    happens to run short of memory.
+    happens to run short of memory.  Short steps share one collection.
     """
+    global _LET_GO
+    if time.monotonic() - _LET_GO < GC_SECONDS:
+        return
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+    _LET_GO = time.monotonic()
 
 
 def cut(df: DataFrame, collect: bool = True) -> DataFrame:
