@@ -201,6 +201,7 @@ class PageMaker:
     SHARE = ("share", "social", "follow", "share-buttons")
     COMMENT = ("comments", "comment-list", "discussion", "responses", "disqus", "reader-comments", "replies")
     HEAD = ("header", "masthead", "site-header", "top", "logo", "hero")
+    TITLE = ("post-title", "entry-title", "title", "headline")
     FOOT = ("footer", "site-footer", "bottom", "copyright", "legal", "colophon")
     NOISE = ("row", "col", "container", "wrapper", "inner", "grid", "box", "x1", "clearfix", "module", "block", "section")
 
@@ -271,7 +272,7 @@ class PageMaker:
 
     def main(self) -> str:
         r, M = self.r, self.MARK
-        head = f"<h1>{M}{self.sentence(2, 12)}</h1>"
+        head = f"<h1>{M}{self.sentence(2, 12)}</h1>" if r.random() < 0.85 else f"<h2{self.cls(self.TITLE)}>{M}{self.sentence(2, 12)}</h2>"
         if r.random() < 0.15:
             head = f"<header>{head}</header>"
         out = [head if r.random() < 0.9 else ""]
@@ -318,9 +319,25 @@ class PageMaker:
             body = f"<table><tr><td>{body}</td></tr></table>"
         for _ in range(r.choice((0, 0, 1, 2))):
             body = f"<{(t := r.choice(('div', 'main', 'div', 'section')))}{self.noise()}>{body}</{t}>"
-        html = "<html><head><title>t</title></head><body>" + "".join(f() for f in before) + body + "".join(f() for f in after)
+        if r.random() < 0.03:
+            return self.marked(self.old_page())
+        html = "".join(f() for f in before) + body + "".join(f() for f in after)
         if r.random() < 0.85:
             html += self.footer()
+        return self.marked(html)
+
+    def old_page(self) -> str:
+        """A page laid out as a table: links above or beside the text, a line in small print below."""
+        r = self.r
+        links = r.choice((" | ", " ", "<br>", " - ")).join(f'<a href="/{r.choice(self.words)}">{self.sentence(1, 2)}</a>' for _ in range(r.randint(2, 7)))
+        cell, text = f"<td bgcolor=#ccc>{links}</td>", f"<td>{self.main()}</td>"
+        top = f"<tr>{cell}</tr><tr>{text}</tr>" if r.random() < 0.6 else f"<tr>{cell}{text}</tr>"
+        small = r.choice(("", "&copy; ", "Last updated ", "Copyright ")) + self.sentence(2, 9)
+        return f"<table width=100%>{top}<tr><td align=center>{r.choice(('<small>', '<font size=1>', ''))}{small}</td></tr></table>"
+
+    def marked(self, html: str) -> tuple[list[Block], list[int]]:
+        """Blocks of a page's body, and which of them carry the mark."""
+        html = "<html><head><title>t</title></head><body>" + html
         blocks = parse(html + "</body></html>")[0]
         labels = [int(self.MARK in b.text) for b in blocks]
         for b in blocks:

@@ -228,3 +228,39 @@ def test_held_out_addresses_of_the_pages_table():
     found = url_filter.default_model().score(*map(list, zip(*parts, strict=True))) >= 0.5
     assert sum(bad) > 5 and np.mean(found == np.array(bad)) > 0.98
     assert not {h.split(".")[-3] for h, _ in parts if h.count(".") > 1} & set(url_filter.UNWANTED + url_filter.WANTED)
+
+
+BLOG = """<html><body><div id="wrapper"><div id="top"><a href="/">Logo</a> <form><input name=q><button>Search</button></form></div>
+<div class="content-wrap"><div class="post"><h2 class="post-title">How we fixed the build</h2>
+<div class="entry"><p>Last week our build began to fail at random, and nobody could tell why it did.</p><p>After two days of looking we found that a test depended on the order of files in a folder.</p>
+<ul><li>First we sorted the listing before it was used.</li><li>Then we made the test say what it expects.</li></ul><blockquote>Order is never given, unless you ask for it.</blockquote></div></div>
+<div id="comments"><h3>2 comments</h3><div class="comment"><p>Thanks, this helped me a lot!</p></div><div class="comment"><p>Same here, great find.</p></div></div></div>
+<div id="sidebar"><h3>Archives</h3><ul><li><a href="/2020">2020</a></li><li><a href="/2021">2021</a></li></ul><div class="widget">Subscribe to our newsletter</div></div>
+<div id="footer">Copyright 2021 Build Co. All rights reserved. <a href="/privacy">Privacy</a></div></div></body></html>"""
+DOCS_PAGE = """<!doctype html><body><header class="site-header"><nav><a href="#">Docs</a><a href="#">Blog</a></nav></header><div class="cookie-banner"><p>We use cookies to improve your experience.</p><button>Accept</button></div>
+<main><article><h1>Reading files</h1><p>The reader opens a file and gives its lines one by one, without holding all of them.</p><h2>Options</h2><table><tr><th>Name</th><th>Meaning</th></tr><tr><td>limit</td><td>How many lines are read at most.</td></tr></table><p>Where a line is longer than the buffer, it is read in parts and put together again.</p></article></main>
+<aside><h4>Related</h4><a href="/w">Writing files</a></aside><footer><p>Terms of use</p></footer></body>"""
+OLD_PAGE = """<table width=100%><tr><td bgcolor=#ccc><a href=a>Home</a> | <a href=b>About</a> | <a href=c>Contact</a></td></tr><tr><td><font size=4><b>The old mill</b></font><p>The mill at the river was built two hundred years ago and has been a house since the war.<p>Today a family lives there, and visitors may see the wheel on Sundays in the summer months.</td></tr>
+<tr><td align=center><small>Last updated 2003. Best viewed with any browser.</small></td></tr></table>"""
+
+
+def test_pages_of_other_layouts_written_by_hand(labeller):
+    blog, docs, old = (t.split("\n") for t in main_text.extract([BLOG, DOCS_PAGE, OLD_PAGE], labeller))
+    assert blog == ["How we fixed the build", "Last week our build began to fail at random, and nobody could tell why it did.", "After two days of looking we found that a test depended on the order of files in a folder.", "First we sorted the listing before it was used.", "Then we made the test say what it expects.", "Order is never given, unless you ask for it."]
+    assert docs == ["Reading files", "The reader opens a file and gives its lines one by one, without holding all of them.", "Options", "Name", "Meaning", "limit", "How many lines are read at most.", "Where a line is longer than the buffer, it is read in parts and put together again."]
+    assert old == ["The old mill", "The mill at the river was built two hundred years ago and has been a house since the war.", "Today a family lives there, and visitors may see the wheel on Sundays in the summer months."]
+
+
+def test_articles_of_the_pages_table(labeller):
+    """Every block of an article and no other, on all pages of a table."""
+    folder = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no tables here")
+    import pyarrow.parquet as pq
+
+    pages = [html_blocks.parse(h or "")[0] for h in pq.read_table(folder)["html"].to_pylist()]
+    apart = {"nav", "aside", "footer", "form"}
+    for blocks, marks in zip(pages, labeller.label(pages), strict=True):
+        for b, mark in zip(blocks, marks, strict=True):
+            tags = {t for t, _ in b.path}
+            assert mark == ("article" in tags and not tags & apart), b
