@@ -6,7 +6,7 @@ from collections.abc import Mapping
 from datetime import UTC, datetime
 from typing import Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import values as V
@@ -19,6 +19,12 @@ def now_text() -> str:
     return datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
+def event_name(number: Column) -> Column:
+    """``event:`` and the number, in six digits at least; longer numbers stay whole."""
+    digits = number.cast("string")
+    return F.concat(F.lit("event:"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits))
+
+
 def ordered(nodes: DataFrame) -> DataFrame:
     """rank and the event's id, timestamp, operation, by (timestamp, event_id) as texts."""
     rows = nodes.filter(has_label(["Event"])).select(V.prop("event_id")["v"].alias("event_id"), V.prop("timestamp")["v"].alias("timestamp"), V.prop("operation")["v"].alias("operation"))
@@ -43,8 +49,7 @@ def next_event_id(nodes: DataFrame) -> DataFrame:
     """event_id: one above the highest number of an ``event:<digits>`` id."""
     number = F.regexp_extract(V.prop("event_id")["v"], r"^event:(\d+)$", 1)
     top = nodes.filter(has_label(["Event"])).agg(F.max(F.when(number != "", number.cast("long"))).alias("n"))
-    digits = (F.coalesce("n", F.lit(0)) + 1).cast("string")
-    return top.select(F.concat(F.lit("event:"), F.when(F.length(digits) < 6, F.lpad(digits, 6, "0")).otherwise(digits)).alias("event_id"))
+    return top.select(event_name(F.coalesce("n", F.lit(0)) + 1).alias("event_id"))
 
 
 def list_events(graph: PropertyGraph) -> list[dict[str, Any]]:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from latticework.functions import values as V
+from latticework.operators.events import event_name
 from latticework.operators.graph import PropertyGraph
 
 KINDS = {"Region": 1, "Nation": 2, "Customer": 3, "Supplier": 4, "Part": 5, "Order": 6}
@@ -190,7 +191,7 @@ def event_graph(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     rows = read(spark, sf_dir, "events")
     stamp = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")
     actors = rows.select("user_id").distinct().select((F.lit(10**10 + 1) + F.col("user_id")).alias("id"), F.array(F.lit("Actor")).alias("labels"), V.typed_props({"key": ("str", F.concat(F.lit("user:"), F.col("user_id").cast("string")))}).alias("props"))
-    events = rows.select((F.lit(2 * 10**10 + 1) + F.col("event_id")).alias("id"), F.array(F.lit("Event")).alias("labels"), V.typed_props({"event_id": ("str", F.concat(F.lit("event:"), F.lpad(F.col("event_id").cast("string"), 6, "0"))), "operation": ("str", F.col("event_type")), "timestamp": ("str", stamp)}).alias("props"))
+    events = rows.select((F.lit(2 * 10**10 + 1) + F.col("event_id")).alias("id"), F.array(F.lit("Event")).alias("labels"), V.typed_props({"event_id": ("str", event_name(F.col("event_id"))), "operation": ("str", F.col("event_type")), "timestamp": ("str", stamp)}).alias("props"))
     empty = F.create_map().cast(V.PROPS_TYPE)
     authored = rows.select((F.lit(10**14) + F.col("event_id")).alias("id"), (F.lit(10**10 + 1) + F.col("user_id")).alias("src"), (F.lit(2 * 10**10 + 1) + F.col("event_id")).alias("dst"), F.lit("AUTHORED").alias("label"), empty.alias("props"))
     after = F.lead("event_id").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
