@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -46,6 +47,18 @@ def scratch(spark: SparkSession, name: str = "scratch") -> str:
     return path
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Have Spark's own file system remove a folder now."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def let_go(spark: SparkSession) -> None:
+    """Have the driver collect its garbage, so that Spark removes the shuffle files of finished steps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -10,16 +10,19 @@ A frontier of many rows is numbered by range, so that no task sorts all of it.
 from __future__ import annotations
 
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from latticework.functions.checkpoints import cut
+from latticework.functions.checkpoints import cut, let_go, remove, scratch
 from latticework.operators.graph import PropertyGraph
 from latticework.operators.subgraph import numbered
 
 #: Rows of a frontier that a window may number; a larger one is numbered by range.
 WINDOW_ROWS = 200_000
+#: Rounds of PageRank whose layers are kept, each a table of the nodes that it reaches.
+LAYERS = 8
 
 
 def advance(edges: DataFrame, frontier: DataFrame, seen: DataFrame, depth: int) -> DataFrame:
@@ -163,20 +166,62 @@ def depth_histogram(graph: PropertyGraph, starts: DataFrame, max_depth: int) ->
 
 
 def pagerank(nodes: DataFrame, edges: DataFrame, iterations: int = 50, alpha: float = 0.85) -> DataFrame:
-    """id, rank: parallel edges collapsed, the mass of nodes without out-edges spread evenly."""
-    links = cut(edges.select("src", "dst").distinct())
-    degree = links.groupBy("src").agg(F.count(F.lit(1)).alias("n"))
+    """id, rank: parallel edges collapsed, the mass of nodes without out-edges spread evenly.
+
+    The ranks of round t are the sum over k of fresh[t - k] * layer k: layer k
+    is what an even start sends along walks of k links, fresh[t] is what round
+    t gives to all nodes alike.  Where walks end, as they do without cycles,
+    layers run out and so do rounds over the links; else, after ``LAYERS``
+    rounds, the ranks themselves go on round by round.  Links stay where their
+    source's hash puts them, and a round's files are removed after it.
+    """
+    spark = nodes.sparkSession
     n = nodes.count()
     if not n:
         return nodes.select("id", F.lit(0.0).alias("rank"))
-    base = cut(nodes.select("id").join(degree.withColumnRenamed("src", "id"), "id", "left"))
-    ranks = base.select("id", "n", F.lit(1.0 / n).alias("rank"))
-    for i in range(iterations):
-        dangling = ranks.filter("n is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
-        gained = links.join(ranks.select(F.col("id").alias("src"), (F.col("rank") / F.col("n")).alias("share")), "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("g"))
-        ranks = base.join(gained, "id", "left").join(F.broadcast(dangling)).select("id", "n", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("g", F.lit(0.0)) + F.col("d") / n)).alias("rank"))
-        if i % 5 == 4:
-            ranks = cut(ranks)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    links = edges.select("src", "dst").repartition(parts, "src").distinct().sortWithinPartitions("src").persist(StorageLevel.DISK_ONLY)
+    degree = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    base = nodes.select("id").repartition(parts, "id").join(degree, "id", "left").sortWithinPartitions("id").persist(StorageLevel.DISK_ONLY)
+
+    def sent(mass: DataFrame) -> DataFrame:
+        share = mass.select(F.col("id").alias("src"), (F.col("rank") / F.col("n")).alias("share"))
+        return links.join(share, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("share").alias("g"))
+
+    def kept(rows: DataFrame) -> tuple[str, DataFrame]:
+        path = scratch(spark, "ranks")
+        rows.write.parquet(path)
+        let_go(spark)
+        return path, spark.read.schema(rows.schema).parquet(path)
+
+    def dangling(mass: DataFrame) -> float:
+        return mass.filter("n is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+
+    layers, lost, ended = [base.select("id", "n", F.lit(1.0 / n).alias("rank"))], [], False
+    while not ended and len(lost) < min(iterations, LAYERS):
+        lost.append(dangling(layers[-1]))
+        _, following = kept(sent(layers[-1]).join(base, "id").select("id", "n", (alpha * F.col("g")).alias("rank")))
+        ended = following.isEmpty()
+        layers += [] if ended else [following]
+    rounds = iterations if ended else len(lost)
+    fresh = [1.0]
+    for t in range(rounds):
+        fresh.append(1 - alpha + alpha * sum(x * fresh[t - j] for j, x in enumerate(lost[: t + 1])))
+    ranks = nodes.select("id", F.lit(fresh[rounds] / n).alias("rank"))
+    for k, layer in enumerate(layers[1:], 1):
+        ranks = ranks.union(layer.select("id", F.col("rank") * fresh[rounds - k]))
+    ranks = ranks.groupBy("id").agg(F.sum("rank").alias("rank"))
+
+    old = None
+    for t in range(rounds, iterations):
+        if t == rounds:
+            old, ranks = kept(ranks.join(base, "id").select("id", "n", "rank"))
+        even = (1 - alpha + alpha * dangling(ranks)) / n
+        path, ranks = kept(base.join(sent(ranks), "id", "left").select("id", "n", (F.lit(even) + alpha * F.coalesce("g", F.lit(0.0))).alias("rank")))
+        remove(spark, old)
+        old = path
+    links.unpersist()
+    base.unpersist()
     return ranks.select("id", "rank")
 
 

@@ -6,6 +6,8 @@ line items, which have no short key, are numbered within their order.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -156,6 +158,12 @@ def commerce_edges(spark: SparkSession, sf_dir: str, labels: tuple[str, ...] = (
     return out
 
 
+def commerce_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """src, dst of every edge, repeated ones too; without edge ids no line item has to be numbered."""
+    ends = [commerce_edges(spark, sf_dir, (label,)).select("src", "dst") for label in ("PART_OF", "IN_NATION", "PLACED", "CONTAINS", "SUPPLIED_BY")]
+    return reduce(DataFrame.union, ends)
+
+
 def commerce(spark: SparkSession, sf_dir: str) -> PropertyGraph:
     return PropertyGraph(commerce_nodes(spark, sf_dir), commerce_edges(spark, sf_dir))
 
